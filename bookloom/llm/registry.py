@@ -11,6 +11,7 @@ QUERIES = {
     "p2_found": "subjects",
     "p2_shares": "subjects",
     "p3_found": "lookalikes",
+    "p3_forms": "lookalikes",
     "p3_groups": "lookalikes",
     "p4_found": "encodings",
     "p4_restored": "encodings",
