@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from importlib import import_module
+from importlib.util import find_spec
 
 #: query -> module; of each problem the found query, or the first one, is the one checked.
 QUERIES = {
@@ -28,7 +29,7 @@ QUERIES = {
 
 
 def queries():
-    return {name: getattr(import_module(f"bookloom.llm.{module}"), name) for name, module in QUERIES.items()}
+    return {name: getattr(import_module(f"bookloom.llm.{module}"), name) for name, module in QUERIES.items() if find_spec(f"bookloom.llm.{module}")}
 
 
 def oracles():
