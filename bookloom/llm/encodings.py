@@ -8,9 +8,8 @@ that distribution is written in one encoding and read in the other.  A span
 labelled with a state gets the state's inverse transform, applied to as much of
 it as still has one.
 
-Viterbi is exact: a bound (the best segment of the largest log-likelihood ratio
-of any state) first passes over all characters; texts whose best path cannot
-leave the clean state are settled by it.
+Viterbi is exact: texts whose best path cannot leave the clean state are settled
+by the best segment of each state, which takes no dynamic programme.
 
 Defined results
 ---------------
@@ -79,6 +78,8 @@ ENTER, STAY = 0.02, 0.8
 UNSEEN = 1e-8
 #: A character foreign to the language is taken to be at most this likely in clean text.
 FOREIGN = 1e-5
+#: Characters that are worked on at once.
+PART = 100_000
 #: Length of the text that gives a state its emissions; drawn from the counts with a fixed seed.
 DRAWN = 30_000
 
@@ -92,6 +93,25 @@ def _read(data: bytes, encoding: str) -> str:
     return _single(encoding).translate_bytes(data)
 
 
+def _best_segment(gains: np.ndarray, starts: np.ndarray, stay: float, leave: float) -> np.ndarray:
+    """The largest sum of consecutive rows within each text, for each column.
+
+    Staying costs, and so does leaving unless the segment ends with the text.
+    """
+    step = np.asarray(gains, np.float64) + stay
+    sums = np.cumsum(step, axis=0)
+    before = sums - step
+    # running minima start anew with each text: later texts are lifted far above earlier ones' reach
+    lift = np.zeros(len(step))
+    lift[starts] = 1
+    lift = (np.cumsum(lift) - 1) * -1e6
+    before += lift[:, None]
+    low = np.minimum.accumulate(before, axis=0)
+    best = sums + lift[:, None] - low + leave
+    best[np.append(starts[1:], len(step)) - 1] -= leave
+    return np.maximum.reduceat(best, starts, axis=0)
+
+
 class _Single:
     def __init__(self, encoding: str):
         self.chars = []
@@ -311,19 +331,28 @@ class Model:
         at[at == len(self.points)] = len(self.points) - 1 if len(self.points) else 0
         return np.where(self.points[at] == codes, at, len(self.points)) if len(self.points) else np.zeros(len(codes), int)
 
-    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Texts (given by the places where they start) whose best path may leave the clean state."""
-        gain = self.best[self.index(codes)] + self.stay
-        sums = np.cumsum(gain, dtype=np.float64)
-        # texts are parted by a fall that no segment can bridge
-        drop = np.zeros(len(codes))
-        drop[starts[1:]] = -1e7
-        sums = sums + np.cumsum(drop)
-        before = np.concatenate([[0.0], sums[:-1]])
-        before[starts] = sums[starts] - gain[starts]
-        low = np.minimum.accumulate(before)
-        best = np.maximum.reduceat(sums - low, starts)
-        return best > -(self.enter + self.stay)
+    def candidates(self, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Texts (given by the places where they start) whose best path leaves the clean state.
+
+        States meet only through the clean one, so a path leaves it if and only
+        if some segment of one state gains more than entering costs.  A bound
+        with the largest ratio of any state goes first.
+        """
+        ends = np.append(starts[1:], len(index))
+        maybe = np.flatnonzero(_best_segment(self.best[index][:, None], starts, self.stay, self.leave)[:, 0] > -(self.enter - self.stay))
+        out = np.zeros(len(starts), bool)
+        at = 0
+        while at < len(maybe):
+            size, stop = 0, at
+            while stop < len(maybe) and (size == 0 or size + ends[maybe[stop]] - starts[maybe[stop]] <= PART):
+                size += ends[maybe[stop]] - starts[maybe[stop]]
+                stop += 1
+            some = maybe[at:stop]
+            rows = np.concatenate([index[starts[i] : ends[i]] for i in some])
+            first = np.cumsum([0] + [ends[i] - starts[i] for i in some[:-1]])
+            out[some] = (_best_segment(self.ratio[rows, 1:], first, self.stay, self.leave) > -(self.enter - self.stay)).any(axis=1)
+            at = stop
+        return out
 
     def paths(self, rows: list[np.ndarray]) -> list[np.ndarray]:
         """The state of each character of each row; rows are run side by side."""
@@ -377,13 +406,21 @@ def label(texts: list[str], model: Model) -> list[np.ndarray | None]:
     full = [i for i, t in enumerate(texts) if t]
     if not full:
         return out
-    parts = [codes(texts[i]) for i in full]
-    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    maybe = model.candidates(np.concatenate(parts), starts)
-    chosen = [n for n, ok in enumerate(maybe) if ok]
-    for n, path in zip(chosen, model.paths([parts[n] for n in chosen])):
-        if path.any():
-            out[full[n]] = path
+    at = 0
+    while at < len(full):
+        size, stop = 0, at
+        while stop < len(full) and (size == 0 or size + len(texts[full[stop]]) <= 10 * PART):
+            size += len(texts[full[stop]])
+            stop += 1
+        some = full[at:stop]
+        parts = [codes(texts[i]) for i in some]
+        starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+        leaves = model.candidates(model.index(np.concatenate(parts)), starts)
+        chosen = [n for n, yes in enumerate(leaves) if yes]
+        for n, path in zip(chosen, model.paths([parts[n] for n in chosen])):
+            if path.any():
+                out[some[n]] = path
+        at = stop
     return out
 
 
