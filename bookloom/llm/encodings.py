@@ -331,31 +331,37 @@ class Model:
         at[at == len(self.points)] = len(self.points) - 1 if len(self.points) else 0
         return np.where(self.points[at] == codes, at, len(self.points)) if len(self.points) else np.zeros(len(codes), int)
 
-    def candidates(self, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Texts (given by the places where they start) whose best path leaves the clean state.
+    def candidates(self, index: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, start, end): the texts whose best path leaves the clean state, and where it can.
 
         States meet only through the clean one, so a path leaves it if and only
         if some segment of one state gains more than entering costs.  A bound
         with the largest ratio of any state goes first.
         """
         ends = np.append(starts[1:], len(index))
+        hot = self.best[index] > 0
         maybe = np.flatnonzero(_best_segment(self.best[index][:, None], starts, self.stay, self.leave)[:, 0] > -(self.enter - self.stay))
-        out = np.zeros(len(starts), bool)
+        # before the first and after the last character that any state favours, a path is clean
+        spans = []
+        for i in maybe:
+            at = np.flatnonzero(hot[starts[i] : ends[i]])
+            spans.append((starts[i] + at[0], starts[i] + at[-1] + 1))
+        out: list[tuple[int, int, int]] = []
         at = 0
         while at < len(maybe):
             size, stop = 0, at
-            while stop < len(maybe) and (size == 0 or size + ends[maybe[stop]] - starts[maybe[stop]] <= PART):
-                size += ends[maybe[stop]] - starts[maybe[stop]]
+            while stop < len(maybe) and (size == 0 or size + spans[stop][1] - spans[stop][0] <= PART):
+                size += spans[stop][1] - spans[stop][0]
                 stop += 1
-            some = maybe[at:stop]
-            rows = np.concatenate([index[starts[i] : ends[i]] for i in some])
-            first = np.cumsum([0] + [ends[i] - starts[i] for i in some[:-1]])
-            out[some] = (_best_segment(self.ratio[rows, 1:], first, self.stay, self.leave) > -(self.enter - self.stay)).any(axis=1)
+            rows = np.concatenate([index[a:b] for a, b in spans[at:stop]])
+            first = np.cumsum([0] + [b - a for a, b in spans[at : stop - 1]])
+            yes = (_best_segment(self.ratio[rows, 1:], first, self.stay, self.leave) > -(self.enter - self.stay)).any(axis=1)
+            out += [(int(maybe[k]), *spans[k]) for k in np.flatnonzero(yes) + at]
             at = stop
         return out
 
     def paths(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """The state of each character of each row; rows are run side by side."""
+        """The state of each character of each row of indices; rows are run side by side."""
         out: list = [None] * len(rows)
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
         for a in range(0, len(order), 256):
@@ -363,7 +369,7 @@ class Model:
             width = max(len(rows[i]) for i in some)
             idx = np.full((len(some), width), len(self.points), int)
             for r, i in enumerate(some):
-                idx[r, : len(rows[i])] = self.index(rows[i])
+                idx[r, : len(rows[i])] = rows[i]
             sizes = np.array([len(rows[i]) for i in some])
             k = len(self.states)
             score = np.full((len(some), k), -1e9)
@@ -415,11 +421,13 @@ def label(texts: list[str], model: Model) -> list[np.ndarray | None]:
         some = full[at:stop]
         parts = [codes(texts[i]) for i in some]
         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-        leaves = model.candidates(model.index(np.concatenate(parts)), starts)
-        chosen = [n for n, yes in enumerate(leaves) if yes]
-        for n, path in zip(chosen, model.paths([parts[n] for n in chosen])):
+        index = model.index(np.concatenate(parts))
+        chosen = model.candidates(index, starts)
+        for (n, a, b), path in zip(chosen, model.paths([index[a:b] for _, a, b in chosen])):
             if path.any():
-                out[some[n]] = path
+                full_path = np.zeros(len(parts[n]), int)
+                full_path[a - starts[n] : b - starts[n]] = path
+                out[some[n]] = full_path
         at = stop
     return out
 

@@ -21,6 +21,7 @@ QUERIES = {
     "p6_found": "sentences",
     "p6_sentences": "sentences",
     "p7_ids": "tokenize",
+    "p7_counts": "tokenize",
     "p8_mix": "mixing",
     "p8_shares": "mixing",
     "p9_found": "spam",
