@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 # Letters beyond ASCII, lower case; capitals follow from them.
 LATIN_LETTERS = {
     "vi": "àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ",
@@ -26,7 +28,8 @@ FULLWIDTH_PUNCTUATION = "！（），：；？"
 JOINERS = {"fa": "‌", "hi": "‌‍"}
 
 
-def own(lang: str) -> set[str]:
+@lru_cache(maxsize=64)
+def own(lang: str) -> frozenset[str]:
     """The non-ASCII characters that a language's ordinary text is made of."""
     out = set(COMMON)
     letters = LATIN_LETTERS.get(lang, "") + (RUSSIAN if lang == "ru" else "")
@@ -35,4 +38,4 @@ def own(lang: str) -> set[str]:
         out |= {chr(c) for c in range(low, high + 1)}
     if lang in ("zh", "ja"):
         out |= set(FULLWIDTH_PUNCTUATION)
-    return out | set(JOINERS.get(lang, ""))
+    return frozenset(out | set(JOINERS.get(lang, "")))

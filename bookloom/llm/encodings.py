@@ -58,6 +58,8 @@ LEGACY = (
     ("tcvn3", "cp1252"),
     ("vni", "cp1252"),
 )
+# Encodings that only these languages' texts were written in.
+ONLY = dict.fromkeys(("gbk", "big5", "euc_jp", "cp932"), ("zh", "ja", "other")) | dict.fromkeys(("cp1258", "tcvn3", "vni"), ("vi", "other"))
 PAIRS = [("utf_8", r) for r in UTF8_READ_AS] + [("utf_8+cp1252+utf_8", "cp1252"), ("utf_8+cp1251+utf_8", "cp1251")] + list(LEGACY)
 
 # TCVN 5712 VN3, whose capitals are a matter of the font, from byte A1 on ("." is unused).
@@ -256,8 +258,10 @@ class Model:
             drawn = "".join(rng.choices(high, [weights[c] for c in high], k=DRAWN))
         self.states = [("", "")]
         ascii_total = sum(n for c, n in weights.items() if ord(c) < 128) or 1
-        tables = []
+        tables, same = [], []
         for written, read in PAIRS if high else []:
+            if written in ONLY and lang not in ONLY[written]:
+                continue
             try:
                 usable = _writable(drawn, written)
             except LookupError:
@@ -277,20 +281,27 @@ class Model:
                     probability[c] = probability.get(c, 0) + 0.5 * n / ascii_total
             self.states.append((written, read))
             tables.append(probability)
+            # what an encoding pair leaves as it is tells nothing for it
+            same.append({c for c in set(usable) if garble(c, written, read) == c})
         self.states.append(("lost", "lost"))
         tables.append({LOST: 0.9})
+        same.append(set())
         points = sorted({*map(ord, counts), *(ord(c) for t in tables for c in t)})
         self.points = np.array(points, np.uint32)
         ratio = np.zeros((len(points) + 1, len(self.states)), np.float32)
         for i, p in enumerate(points):
             c = chr(p)
             base = max(counts.get(c, 0), 0.5) / total
+            spacing = unicodedata.category(c) in ("Zs", "Cf")
             if c == LOST:
                 base = 1e-9
             elif not ordinary(c):
                 base = min(base, FOREIGN)
             for k, t in enumerate(tables, 1):
-                ratio[i, k] = np.log(max(t.get(c, 0.0), UNSEEN) / base)
+                gain = np.log(max(t.get(c, 0.0), UNSEEN) / base)
+                # ASCII reads alike in every pair, or is a second byte; spaces and what isn't seen are weak evidence
+                most = 0.0 if ord(c) < 128 or c in same[k - 1] else 4.0 if spacing else 50.0
+                ratio[i, k] = 0.0 if ord(c) < 128 and self.states[k][0] in ("cp932", "gbk", "big5", "euc_jp") else min(gain, most)
         ratio[-1, 1:] = -12
         self.ratio = ratio
         self.best = ratio.max(axis=1)
@@ -311,7 +322,7 @@ class Model:
         if written.startswith("utf_8"):
             return fit or LOST not in better and all(unicodedata.category(c)[0] in "LMPS" for c in high)
         gain = self.plain(better) - self.plain(piece)
-        if not fit or high.count(LOST) > piece.count(LOST):
+        if not fit or high.count(LOST) - piece.count(LOST) > 0.2 * len(high):
             return False
         if any(ord(c) >= 128 and not self.weak(c) for c in piece):
             return gain > 0
@@ -391,14 +402,14 @@ class Model:
                 done = sizes == t + 1
                 if done.any():
                     final[done] = score[done]
+            back = np.zeros((width, len(some)), np.int8)
+            ending, at, each = final.argmax(axis=1), np.zeros(len(some), int), np.arange(len(some))
+            for t in range(width - 1, -1, -1):
+                at = np.where(sizes == t + 1, ending, at)
+                back[t] = at
+                at = came[t, each, at]
             for r, i in enumerate(some):
-                n = len(rows[i])
-                path = np.zeros(n, int)
-                at = int(final[r].argmax()) if n else 0
-                for t in range(n - 1, -1, -1):
-                    path[t] = at
-                    at = int(came[t, r, at])
-                out[i] = path
+                out[i] = back[: len(rows[i]), r].astype(int)
         return out
 
 

@@ -86,8 +86,6 @@ class Forms:
         self.lang = lang
         self.latin, self.russian = lang in LATIN_LETTERS, lang == "ru"
         letters = own(lang) - set(PERSIAN) if lang == "fa" else own(lang)
-        if lang in ("th", "hi"):
-            letters |= set()
         ordinary = letters - {c for c in letters if plain(c, lang) != c or unicodedata.normalize("NFC", c) != c}
         ascii_part = " -~\n\r\t" if not self.russian else " -@[-`{-~\n\r\t"
         self.odd = re.compile(f"[^{ascii_part}{re.escape(''.join(sorted(ordinary)))}]")
