@@ -1,8 +1,8 @@
 """Problem 7: encoding of the whole corpus with a public byte-level BPE.
 
 Each Python worker holds the tokenizer's merge table in an in-memory DuckDB.
-The distinct new words of a batch become rows (word, position, token); one
-recursive query joins neighbouring tokens to the merge table and contracts, in
+The distinct new words of a batch, cut where no token of the vocabulary holds the
+two bytes, become rows (word, position, token); one recursive query joins neighbouring tokens to the merge table and contracts, in
 each word, the pairs of the least rank from the left, until no pair is left.  An
 ordered aggregation yields each word's ids.  Words seen before come from a
 bounded cache, so a word is worked out once for each worker.
@@ -36,6 +36,8 @@ from bookloom.llm.common import table
 TOKENIZER = "byte_bpe_50k.json"
 #: Words kept by a worker.
 CACHE_WORDS = 300_000
+#: Texts that are worked on at once.
+TEXTS = 1000
 #: Bytes of new words that one recursive query takes; a longer word goes alone, step by step.
 QUERY_BYTES = 400_000
 LONG_WORD = 5_000
@@ -94,6 +96,14 @@ class Encoder:
         self.bytes = np.array([vocabulary[c] for c in byte_letters()], np.int32)
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.cache: dict[str, list[int]] = {}
+        self.pieces: dict[bytes, list[int]] = {}
+        # which bytes stand side by side in some token: no merge ever joins others
+        letter = {c: b for b, c in enumerate(byte_letters())}
+        self.joins = np.zeros((256, 256), bool)
+        for token in vocabulary:
+            if all(c in letter for c in token):
+                raw = [letter[c] for c in token]
+                self.joins[raw[:-1], raw[1:]] = True
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": os.environ.get("TMPDIR", "/tmp") + f"/bookloom-duck-{os.getpid()}"})
         merges = pa.table({
             "l": pa.array([vocabulary[a] for a, _ in pairs], pa.int32()),
@@ -105,53 +115,63 @@ class Encoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_given")
         self.db.unregister("merges_given")
 
-    def _units(self, words: list[str]) -> pa.Table:
-        raw = [w.encode("utf-8") for w in words]
-        sizes = np.array([len(r) for r in raw])
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    def split(self, word: str) -> list[bytes]:
+        """A word's pieces between which no merge can take place."""
+        raw = word.encode("utf-8")
+        data = np.frombuffer(raw, np.uint8)
+        cuts = (np.flatnonzero(~self.joins[data[:-1], data[1:]]) + 1).tolist()
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])]
+
+    def _units(self, pieces: list[bytes]) -> pa.Table:
+        sizes = np.array([len(r) for r in pieces])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         return pa.table({"w": word, "pos": (np.arange(len(data)) - first + 1).astype(np.int32), "tok": self.bytes[data]})
 
     def learn(self, words: list[str]) -> None:
         """Work out the ids of words that the cache doesn't hold."""
-        group: list[str] = []
+        split = [self.split(w) for w in words]
+        group: list[bytes] = []
         size = 0
-        for w in words:
-            n = len(w) * 4
-            if len(w) > LONG_WORD:
-                self._long(w)
+        for p in dict.fromkeys(p for parts in split for p in parts if p not in self.pieces):
+            if len(p) > LONG_WORD:
+                self._long(p)
                 continue
-            if group and size + n > QUERY_BYTES:
+            if group and size + len(p) > QUERY_BYTES:
                 self._query(group)
                 group, size = [], 0
-            group.append(w)
-            size += n
+            group.append(p)
+            size += len(p)
         if group:
             self._query(group)
+        for w, parts in zip(words, split):
+            self.cache[w] = self.pieces[parts[0]] if len(parts) == 1 else list(chain.from_iterable(self.pieces[p] for p in parts))
 
-    def _query(self, words: list[str]) -> None:
-        self.db.register("units", self._units(words))
+    def _query(self, pieces: list[bytes]) -> None:
+        self.db.register("units", self._units(pieces))
         for w, ids in self.db.execute(RECURSIVE).fetchall():
-            self.cache[words[w]] = ids
+            self.pieces[pieces[w]] = ids
         self.db.unregister("units")
 
-    def _long(self, word: str) -> None:
-        """The same steps for one long word, keeping only its last state."""
-        self.db.register("units", self._units([word]))
+    def _long(self, piece: bytes) -> None:
+        """The same steps for one long piece, keeping only its last state."""
+        self.db.register("units", self._units([piece]))
         self.db.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT w, 0 AS it, pos, tok FROM units")
         while True:
             self.db.execute("CREATE OR REPLACE TEMP TABLE later AS " + STEP.format(state="now"))
             if not self.db.execute("SELECT count(*) FROM later").fetchall()[0][0]:
                 break
             self.db.execute("DROP TABLE now; ALTER TABLE later RENAME TO now")
-        self.cache[word] = self.db.execute("SELECT list(tok ORDER BY pos) FROM now").fetchall()[0][0]
+        self.pieces[piece] = self.db.execute("SELECT list(tok ORDER BY pos) FROM now").fetchall()[0][0]
         self.db.unregister("units")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         split = [self.words.findall(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.cache))
         if new:
             self.learn(new)
@@ -174,8 +194,8 @@ def _encode(path: str, lengths: bool):
         for b in batches:
             texts = b.column(1).to_pylist()
             # parts bound what one batch of long texts needs
-            for at in range(0, len(texts), 500):
-                ids = coder.encode(texts[at : at + 500])
+            for at in range(0, len(texts), TEXTS):
+                ids = coder.encode(texts[at : at + TEXTS])
                 keys = b.column(0).slice(at, len(ids))
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 if lengths:
