@@ -2,14 +2,14 @@
 
 A document is a sequence of lines; long lines are cut into pieces at sentence
 ends and separators.  A hidden Markov model labels each line as prose, link
-list, tag list, menu (keyword and product lines, sentences that only repeat a
-keyword) or apparatus (lists that belong to books).  Emissions are products of
+list, tag list, menu (keyword and product lines), refrain (words and sentences that
+only repeat a keyword) or apparatus (lists that belong to books).  Emissions are products of
 tables over eight binned features.  The tables start from a stated prior and are
 re-estimated by one round of Viterbi training over all documents; what training
 gathers is a count for each (state, feature, bin), whatever the corpus' size.
 
-A document is a case if more than half of its words stand in link, tag or menu
-lines.  Equal texts have equal labels.
+A document is a case if more than half of its words stand in link, tag, menu or
+refrain lines.  Equal texts have equal labels.
 
 Defined results
 ---------------
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from bookloom.llm.common import materialise, table
 
-STATES = ("prose", "link", "tag", "menu", "apparatus")
-SPAM = np.array([False, True, True, True, False])
+STATES = ("prose", "link", "tag", "menu", "refrain", "apparatus")
+SPAM = np.array([False, True, True, True, True, False])
 #: Features and their numbers of bins.
 FEATURES = (("url", 4), ("hash", 3), ("separators", 3), ("sentence", 2), ("repeated", 4), ("trade", 3), ("list", 7), ("product", 2))
 #: Staying in a state from one line to the next.
@@ -71,6 +71,17 @@ LISTS = (
     re.compile(r"\d+(?:[.,/]\d+)?\s?(?:g|kg|mg|ml|cl|dl|l|tbsp|tsp|cups?|oz|lb|thìa|muỗng|克|グラム|г|мл)\b\.?\s+\S[^.!?]{1,60}\Z", re.I),
     re.compile(r"[^\s:：][^:：.!?#/]{0,40}[:：]\s+(?!\S*(?:https?:|hxxps?:|www|\w\.\w))\S.{8,}", re.S),
 )
+#: What a link and a price must hold, digits inside words, and words of trade's first words: quick tests before the patterns above.
+DOTTED = re.compile(r"\.[A-Za-z\])[(]")
+PRICED = re.compile(r"[%$€£₫★]|SKU|USD|EUR|VND|stock|cart")
+LEETED = re.compile(r"[03@1$5][^\W\d_]")
+EDGES = ".,;:!?…\"'“”‘’«»()[]{}<>#*-–—/|•。！？，、；：「」『』।؟،؛"
+TRADE_FIRST = set(
+    "buy cheap discount coupon deals free freeshipping best bestprice top toprated near nearme online for forsale no nosignup official officialstore audiobook audiobookdownload download "
+    "mua giá giárẻ giảm giảmgiá khuyến khuyếnmãi đặt đặthàng bảng bảnggiá tốt tốtnhất chính chínhhãng giao giaonhanh uy uytín sỉ sỉlẻ tải tảimiễnphí không khôngquảngcáo sách sáchnói "
+    "acheter promo soldes pas pascher avis livraison livraisongratuite téléchargement meilleur meilleurprix en enligne livre livreaudio kaufen angebot günstig bester besterpreis gutschein versandkostenfrei hörbuch rabatt "
+    "comprar rebajas oferta barato descargar envío envíogratis mejor mejorprecio opiniones enlínea audiolibro купить скачать дёшево дешево лучшая лучшаяцена доставка аудиокнига скидка отзывы распродажа".split()
+)
 LEET = str.maketrans("03@1$5", "oeaiss")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
@@ -88,39 +99,53 @@ def lines(text: str) -> list[str]:
         if len(line) <= LONG:
             out.append(line)
             continue
-        at, found = 0, [m.end() for m in CUT.finditer(line)]
-        ends = [m.end() for m in SENTENCE_END.finditer(line)]
-        k = j = 0
+        at = 0
         while len(line) - at > LONG:
-            while j < len(ends) and ends[j] < at + PIECE:
-                j += 1
-            while k < len(found) and found[k] < at + PIECE:
-                k += 1
-            cut = ends[j] if j < len(ends) and ends[j] <= at + LONG else found[k] if k < len(found) and found[k] <= at + 2 * LONG else at + LONG
+            end = SENTENCE_END.search(line, at + PIECE, at + LONG + 1) or CUT.search(line, at + PIECE, at + 2 * LONG)
+            cut = end.end() if end else at + LONG
             out.append(line[at:cut])
             at = cut
         out.append(line[at:])
     return out
 
 
-def _repeated(line: str) -> float:
-    """The share of a line's letters in short sequences that it says three times or more.
+def _repeated(line: str, words: list[str]) -> float:
+    """The share of a line in short sequences that it says again and again.
 
-    A refrain or a sentence said twice isn't what stuffing does.
+    Words: pairs said three times, longer words said four times.  Scripts
+    without spaces: triples of characters said three times.  A refrain or a
+    sentence said twice isn't what stuffing does.
     """
-    s = re.sub(r"[\W_]+", "", line.lower().translate(LEET))
-    size = 3 if len(CJK.findall(s)) * 2 > len(s) else 6
-    if len(s) < 3 * size:
+    if len(CJK.findall(line)) * 2 > len(line):
+        s = "".join(words)
+        if len(s) < 9:
+            return 0.0
+        grams = Counter(map("".join, zip(s, s[1:], s[2:])))
+        return sum(n for n in grams.values() if n >= 3) / (len(s) - 2)
+    if len(words) < 4 or len(set(words)) > 0.85 * len(words):
+        return 0.0
+    words = [w[:-1] if w[-1] == "s" and len(w) > 3 else w for w in words]
+    pairs, single = Counter(zip(words, words[1:])), Counter(words)
+    hit = [False] * len(words)
+    often = {p for p, n in pairs.items() if n >= 3}
+    alone = {w for w, n in single.items() if n >= 4 and len(w) >= 4}
+    if not often and not alone:
         return 0.0
-    grams = Counter(s[i : i + size] for i in range(len(s) - size + 1))
-    return sum(n for n in grams.values() if n >= 3) / (len(s) - size + 1)
+    for i, w in enumerate(words):
+        if w in alone:
+            hit[i] = True
+        if i + 1 < len(words) and (w, words[i + 1]) in often:
+            hit[i] = hit[i + 1] = True
+    return sum(hit) / len(hit)
 
 
 def features(line: str) -> tuple[int, int]:
     """A line's bins as one number, and its words."""
-    words = len(WORDS.findall(line))
+    cjk = bool(CJK.search(line))
+    words = len(WORDS.findall(line)) if cjk else len(line.split())
     n = max(1, len(line))
-    found = URL.findall(line) if "." in line or "<" in line or "://" in line or " dot " in line else []
+    linking = "." in line and DOTTED.search(line) or "://" in line or "<" in line or " dot " in line or ")" in line and "(.)" in line
+    found = URL.findall(line) if linking else []
     linked = sum(map(len, found)) / n
     rest = URL.sub(" ", line) if found else line
     url = 0 if not found else 1 if linked < 0.3 else 2 if linked < 0.6 else 3
@@ -128,26 +153,30 @@ def features(line: str) -> tuple[int, int]:
     hashed = 0 if not tags else 1 if tags * 3 < words else 2
     separated = len(SEPARATOR.findall(rest)) / max(1, words)
     sep = 0 if separated < 0.12 else 1 if separated < 0.24 else 2
-    trades = len(TRADE.findall(rest))
+    low = rest.lower()
+    if LEETED.search(low):
+        low = low.translate(LEET)
+    low = [t for t in (t.strip(EDGES) for t in low.replace("_", " ").split()) if t]
+    unspaced = len(UNSPACED.findall(rest)) * 4 > len(rest)
+    trades = len(TRADE.findall(rest)) if cjk or not TRADE_FIRST.isdisjoint(low) else 0
     trade = 0 if not trades else 1 if trades * 12 < words else 2
-    product = int(bool(PRODUCT.search(rest)))
+    product = int(bool(PRICED.search(rest)) and bool(PRODUCT.search(rest)))
     tokens = rest.split()
-    unspaced = len(UNSPACED.findall(rest)) * 4 > len(rest)
     # a script that ends sentences with spaces writes prose in long runs
     running = unspaced and len(rest) > 9 * max(1, len(tokens))
     ended = int(running or bool(SENTENCE_END.search(rest)))
-    r = _repeated(rest)
+    r = _repeated(rest, low)
     longest = max(map(len, tokens), default=0)
     if not unspaced and longest >= 40 and longest * 3 > len(rest):
         r = 0.0
-    repeated = 0 if r < 0.06 else 1 if r < 0.15 else 2 if r < 0.4 else 3
+    repeated = 0 if r < 0.12 else 1 if r < 0.3 else 2 if r < 0.5 else 3
     listed = 0
     if not product and not tags:
         for k, p in enumerate(LISTS, 1):
             if (p.search(line) if k == 1 else p.match(line)) and (k != 5 or not found and trade < 2):
                 listed = k
                 break
-        if not listed and url < 2 and not trade and repeated < 2:
+        if not listed and url < 2 and not trade and repeated < 2 and not (ended and len(tokens) > 12 and longest < 40):
             plain = sum(bool(WORD.match(t)) for t in tokens)
             debris = len(rest) < 15 or not unspaced and (longest >= 40 and longest * 3 > len(rest) or plain < 0.6 * len(tokens))
             listed = 6 if debris and not (ended and plain >= 3) else 0
@@ -160,15 +189,15 @@ def features(line: str) -> tuple[int, int]:
 def _prior() -> list[np.ndarray]:
     """The stated prior: for each feature a table of states by bins."""
     rows = {
-        #            prose             link              tag               menu              apparatus
-        "url": ([90, 8, 1.5, 0.5], [5, 10, 35, 50], [85, 10, 3, 2], [80, 12, 6, 2], [60, 15, 20, 5]),
-        "hash": ([98, 1.5, 0.5], [94, 4, 2], [4, 8, 88], [95, 4, 1], [97, 2.5, 0.5]),
-        "separators": ([70, 25, 5], [50, 25, 25], [75, 15, 10], [30, 25, 45], [40, 30, 30]),
-        "sentence": ([12, 88], [85, 15], [92, 8], [65, 35], [60, 40]),
-        "repeated": ([90, 8, 1.8, 0.2], [60, 20, 15, 5], [35, 30, 25, 10], [14, 14, 36, 36], [90, 7, 2.5, 0.5]),
-        "trade": ([93, 6.5, 0.5], [55, 15, 30], [25, 25, 50], [25, 15, 60], [93, 6, 1]),
-        "list": ([80, 0.5, 2, 0.5, 0.5, 6, 10.5], [93, 0.5, 1, 0.3, 0.2, 3, 2], [96, 0.2, 0.5, 0.1, 0.2, 1, 2], [93, 0.3, 2, 0.2, 0.5, 2, 2], [4, 18, 20, 14, 14, 16, 14]),
-        "product": ([96, 4], [94, 6], [94, 6], [55, 45], [97, 3]),
+        #  prose, link, tag, menu, refrain, apparatus
+        "url": ([90, 8, 1.5, 0.5], [5, 10, 35, 50], [85, 10, 3, 2], [80, 12, 6, 2], [95, 3, 1, 1], [60, 15, 20, 5]),
+        "hash": ([98, 1.5, 0.5], [94, 4, 2], [4, 8, 88], [95, 4, 1], [98, 1.5, 0.5], [97, 2.5, 0.5]),
+        "separators": ([70, 25, 5], [50, 25, 25], [75, 15, 10], [30, 25, 45], [60, 25, 15], [40, 30, 30]),
+        "sentence": ([12, 88], [85, 15], [92, 8], [70, 30], [40, 60], [60, 40]),
+        "repeated": ([88, 9, 2.7, 0.3], [60, 20, 15, 5], [35, 30, 25, 10], [20, 20, 30, 30], [0.5, 3, 16.5, 80], [90, 7, 2.5, 0.5]),
+        "trade": ([93, 6.5, 0.5], [55, 15, 30], [25, 25, 50], [15, 15, 70], [60, 20, 20], [93, 6, 1]),
+        "list": ([80, 0.5, 2, 0.5, 0.5, 6, 10.5], [93, 0.5, 1, 0.3, 0.2, 3, 2], [96, 0.2, 0.5, 0.1, 0.2, 1, 2], [93, 0.3, 2, 0.2, 0.5, 2, 2], [96, 0.2, 1, 0.2, 0.2, 0.4, 2], [4, 18, 20, 14, 14, 16, 14]),
+        "product": ([96, 4], [94, 6], [94, 6], [55, 45], [98, 2], [97, 3]),
     }
     return [np.array(rows[name], float) / 100 for name, _ in FEATURES]
 
@@ -187,7 +216,7 @@ class Tables:
             self.logs.append(np.log(np.maximum(p, 1e-4)))
         change = (1 - STAY) / (len(STATES) - 1)
         self.moves = np.log(np.full((len(STATES),) * 2, change) + np.eye(len(STATES)) * (STAY - change))
-        self.first = np.log(np.array([0.6, 0.1, 0.1, 0.1, 0.1]))
+        self.first = np.log(np.array([0.5, 0.1, 0.1, 0.1, 0.1, 0.1]))
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros((len(codes), len(STATES)))
