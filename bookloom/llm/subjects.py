@@ -51,6 +51,7 @@ ROUNDS = 150
 
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+QUOTE, DIGIT = re.compile(r"[“«„「『\"]"), re.compile(r"\d")
 RUN = re.compile(r"[^\W\d_]+")
 LABELS = "paragraph_id long, book_id long, lang string, mask int"
 
@@ -73,9 +74,9 @@ def structure(text: str, origin: str | None) -> set[str]:
     """Source and structure of a paragraph, as terms that no text can have."""
     n = len(text)
     out = {f"\x01len{0 if n < 60 else 1 if n < 150 else 2 if n < 400 else 3}", f"\x01src{origin or ''}"}
-    if re.search(r"[“«„「『\"]", text):
+    if QUOTE.search(text):
         out.add("\x01quote")
-    if re.search(r"\d", text):
+    if DIGIT.search(text):
         out.add("\x01digit")
     return out
 
@@ -157,14 +158,39 @@ class Chain:
         return x @ self.terms_w + self.bias
 
     def bag_scores(self, bags: list[set[str]]) -> np.ndarray:
-        out = np.tile(self.bias.astype(np.float64), (len(bags), 1))
-        if not self.rows:
-            return out
         get = self.rows.get
-        for i, bag in enumerate(bags):
-            at = [r for r in map(get, bag) if r is not None]
-            if at:
-                out[i] += self.terms_w[at].sum(axis=0) / np.sqrt(len(at))
+        return self._summed([[r for r in map(get, bag) if r is not None] for bag in bags])
+
+    def text_scores(self, texts, origins) -> np.ndarray:
+        """The same for texts, without making terms that the chain doesn't know."""
+        if not self.rows:
+            return self._summed([[] for _ in texts])
+        if not hasattr(self, "single"):
+            self.single = {t: r for t, r in self.rows.items() if " " not in t}
+            self.pairs = {tuple(t.split(" ")): r for t, r in self.rows.items() if " " in t}
+        one, two = self.single.get, self.pairs.get
+        found = []
+        for text, origin in zip(texts, origins):
+            low = text.lower()
+            if len(UNSPACED.findall(low)) * 3 > len(low):
+                at = {r for r in map(one, terms(text)) if r is not None}
+            else:
+                words = WORD.findall(low)
+                at = {*map(one, words), *map(two, zip(words, words[1:]))}
+                at.discard(None)
+            at.update(r for r in map(one, structure(text, origin)) if r is not None)
+            found.append(list(at))
+        return self._summed(found)
+
+    def _summed(self, found: list[list[int]]) -> np.ndarray:
+        """Scores of rows of term numbers, summed side by side."""
+        out = np.tile(np.asarray(self.bias, np.float64), (len(found), 1))
+        sizes = np.array([len(f) for f in found], int)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            flat = np.concatenate([found[i] for i in full]).astype(int)
+            starts = np.cumsum(sizes[full]) - sizes[full]
+            out[full] += np.add.reduceat(self.terms_w[flat].astype(np.float64), starts, axis=0) / np.sqrt(sizes[full])[:, None]
         return out
 
     def decode(self, z: np.ndarray) -> np.ndarray:
@@ -298,8 +324,7 @@ def label(paragraphs: DataFrame, chains: dict[str, Chain]) -> DataFrame:
             for lang, rows in b.groupby("lang").indices.items():
                 chain = shared.value.get(lang) or shared.value["other"]
                 texts, origins = b.text.to_numpy()[rows], b.origin.to_numpy()[rows]
-                bags = [terms(t) | structure(t, o) for t, o in zip(texts, origins)] if chain.rows else [set()] * len(rows)
-                masks[rows] = chain.decode(chain.bag_scores(bags))
+                masks[rows] = chain.decode(chain.text_scores(texts, origins))
             yield pd.DataFrame({"paragraph_id": b.paragraph_id, "book_id": b.book_id, "lang": b.lang, "mask": masks.astype(np.int32)})
 
     return paragraphs.mapInPandas(run, LABELS)
