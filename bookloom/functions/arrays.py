@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
+
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def rms(a: Column) -> Column:
     """Root mean square; 0 for an empty signal."""
-    total = F.aggregate(a, ZERO, lambda s, x: s + x.cast("double") * x.cast("double"))
-    return F.when(F.size(a) > 0, F.sqrt(total / F.size(a))).otherwise(ZERO)
+    total = F.aggregate(a, zero(), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.when(F.size(a) > 0, F.sqrt(total / F.size(a))).otherwise(zero())
 
 
 def normalise(a: Column, target_db: float = -20.0) -> Column:
@@ -31,17 +33,17 @@ def fade(a: Column, most: int) -> Column:
 
 
 def with_silence(a: Column, samples: Column) -> Column:
-    return F.concat(F.transform(a, lambda x: x.cast("double")), F.array_repeat(ZERO, samples))
+    return F.concat(F.transform(a, lambda x: x.cast("double")), F.array_repeat(zero(), samples))
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), ZERO, lambda s, x: s + F.coalesce(x, ZERO))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), zero(), lambda s, x: s + F.coalesce(x, zero()))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 where a vector is zero."""
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / size).otherwise(ZERO)
+    return F.when(size > 0, dot(a, b) / size).otherwise(zero())
 
 
 def valid_codes(a: Column, most: int = 65_536) -> Column:

@@ -37,7 +37,8 @@ class Blocks(HTMLParser):
         if tag == "br" and self._open:
             self._open[-1][1].append("\n")
         if tag in LEAVES:
-            if tag in ("p", "li") and self._open and self._open[-1][0] == tag:
+            # a paragraph ends where a block begins, an item where the next one does
+            if self._open and self._open[-1][0] in ("p", tag if tag == "li" else "p"):
                 self._close()
             for outer in self._open:
                 outer[2] = True
@@ -51,6 +52,9 @@ class Blocks(HTMLParser):
                 while self._skip.pop() != tag:
                     pass
             return
+        if tag in ("ul", "ol", "div", "section", "article", "body"):
+            while self._open and self._open[-1][0] in ("p", "li") and not (tag in ("div", "section", "article") and self._open[-1][0] == "li"):
+                self._close()
         if tag in LEAVES and any(o[0] == tag for o in self._open):
             while self._open and self._close() != tag:
                 pass
