@@ -95,10 +95,11 @@ def _read(data: bytes, encoding: str) -> str:
     return _single(encoding).translate_bytes(data)
 
 
-def _best_segment(gains: np.ndarray, starts: np.ndarray, stay: float, leave: float) -> np.ndarray:
+def _best_segment(gains: np.ndarray, starts: np.ndarray, stay: float, leave: float, last: np.ndarray | None = None) -> np.ndarray:
     """The largest sum of consecutive rows within each text, for each column.
 
-    Staying costs, and so does leaving unless the segment ends with the text.
+    Staying costs, and so does leaving unless the segment ends with the text;
+    ``last`` tells which of the given parts end their text (all, if not given).
     """
     step = np.asarray(gains, np.float64) + stay
     sums = np.cumsum(step, axis=0)
@@ -110,7 +111,8 @@ def _best_segment(gains: np.ndarray, starts: np.ndarray, stay: float, leave: flo
     before += lift[:, None]
     low = np.minimum.accumulate(before, axis=0)
     best = sums + lift[:, None] - low + leave
-    best[np.append(starts[1:], len(step)) - 1] -= leave
+    at_end = np.append(starts[1:], len(step)) - 1
+    best[at_end if last is None else at_end[last]] -= leave
     return np.maximum.reduceat(best, starts, axis=0)
 
 
@@ -366,13 +368,17 @@ class Model:
                 stop += 1
             rows = np.concatenate([index[a:b] for a, b in spans[at:stop]])
             first = np.cumsum([0] + [b - a for a, b in spans[at : stop - 1]])
-            yes = (_best_segment(self.ratio[rows, 1:], first, self.stay, self.leave) > -(self.enter - self.stay)).any(axis=1)
+            last = np.array([b == ends[i] for i, (_, b) in zip(maybe[at:stop], spans[at:stop])])
+            yes = (_best_segment(self.ratio[rows, 1:], first, self.stay, self.leave, last) > -(self.enter - self.stay)).any(axis=1)
             out += [(int(maybe[k]), *spans[k]) for k in np.flatnonzero(yes) + at]
             at = stop
         return out
 
-    def paths(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """The state of each character of each row of indices; rows are run side by side."""
+    def paths(self, rows: list[np.ndarray], last: list[bool] | None = None) -> list[np.ndarray]:
+        """The state of each character of each row of indices; rows are run side by side.
+
+        A row that doesn't end its text (``last``) has to return to the clean state.
+        """
         out: list = [None] * len(rows)
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
         for a in range(0, len(order), 256):
@@ -402,6 +408,8 @@ class Model:
                 done = sizes == t + 1
                 if done.any():
                     final[done] = score[done]
+            if last is not None:
+                final[[r for r, i in enumerate(some) if not last[i]], 1:] += self.leave
             back = np.zeros((width, len(some)), np.int8)
             ending, at, each = final.argmax(axis=1), np.zeros(len(some), int), np.arange(len(some))
             for t in range(width - 1, -1, -1):
@@ -434,7 +442,8 @@ def label(texts: list[str], model: Model) -> list[np.ndarray | None]:
         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
         index = model.index(np.concatenate(parts))
         chosen = model.candidates(index, starts)
-        for (n, a, b), path in zip(chosen, model.paths([index[a:b] for _, a, b in chosen])):
+        stops = [starts[n] + len(parts[n]) for n, _, _ in chosen]
+        for (n, a, b), path in zip(chosen, model.paths([index[a:b] for _, a, b in chosen], [b == e for (_, _, b), e in zip(chosen, stops)])):
             if path.any():
                 full_path = np.zeros(len(parts[n]), int)
                 full_path[a - starts[n] : b - starts[n]] = path

@@ -123,7 +123,7 @@ def split_pieces(records: DataFrame, limits: DataFrame, oversized_only: bool = F
     )
     base = records.select("record_table", F.col("record_id").cast("long"), "text", "lang").where(F.col("text").isNotNull())
     joined = base.join(limits, ["record_table", "lang"], "left")
-    over = F.coalesce(F.length("text") > F.greatest("max_chars", F.lit(1)), F.lit(False))
+    over = F.col("max_chars").isNotNull() & (F.length("text") > F.greatest("max_chars", F.lit(1)))
     cut = joined.where(over).drop("lang").mapInPandas(_pieces, PIECES)
     if oversized_only:
         return cut
