@@ -125,7 +125,7 @@ class Chain:
             p = 1 / (1 + np.exp(-np.clip(s * z, -30, 30)))
             return -(w[:, None] * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum()
 
-        self._descend(x, labels, weights)
+        self._descend(x, labels, weights, ROUNDS // 3, warm=True)
         self.scale = min((0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0), key=loss) if held.any() else 1.0
         return self
 
@@ -137,14 +137,16 @@ class Chain:
                 x[i, at] = 1.0 / np.sqrt(len(at))
         return x
 
-    def _descend(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        """All links at once: each sees the true labels of those before it."""
+    def _descend(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = ROUNDS, warm: bool = False) -> None:
+        """All links at once: each sees the true labels of those before it.  ``warm`` goes on from the last fit."""
         k = len(self.subjects)
         y, w = y.astype(np.float32), (w / w.mean()).astype(np.float32)[:, None]
         terms_w, links, bias = np.zeros((x.shape[1], k), np.float32), np.zeros((k, k), np.float32), np.log(np.clip(y.mean(axis=0), 0.01, 0.99))
+        if warm:
+            terms_w, links, bias = self.terms_w.copy(), self.links.copy(), self.bias.copy()
         lower = np.tril(np.ones((k, k), np.float32), -1)
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (terms_w, links, bias)]
-        for step in range(1, ROUNDS + 1):
+        for step in range(1, rounds + 1):
             z = x @ terms_w + y @ (links * lower).T + bias
             g = w * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
             grads = (x.T @ g + 2e-5 * terms_w, (g.T @ y) * lower + 2e-4 * links, g.sum(axis=0))
@@ -335,16 +337,21 @@ def _unmixed(order: list[str], confusion: dict[str, np.ndarray]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for book, lang, n, *counts in zip(b.book_id, b.lang, b.n_paragraphs, *(b[f"s{i}"] for i in range(len(order)))):
-                seen = np.array(counts, float)
+            seen = np.stack([b[f"s{i}"].to_numpy(float) for i in range(len(order))], axis=1)
+            seen_share = seen / np.maximum(seen.sum(axis=1, keepdims=True), 1e-9)
+            mix = seen_share.copy()
+            for lang, at in b.groupby("lang").indices.items():
                 c = confusion.get(lang, confusion["other"])
-                mix = seen / seen.sum()
+                part, own = mix[at], seen_share[at]
                 for _ in range(60):
-                    mix = mix * ((seen / seen.sum()) / np.maximum(mix @ c, 1e-9) @ c.T)
-                    mix = mix / mix.sum()
-                rows += [(book, lang, order[i], int(n), float(seen[i]), float(mix[i])) for i in range(len(order))]
-            yield pd.DataFrame(rows, columns=["book_id", "lang", "subject", "n_paragraphs", "labelled", "share"])
+                    part = part * ((own / np.maximum(part @ c, 1e-9)) @ c.T)
+                    part = part / np.maximum(part.sum(axis=1, keepdims=True), 1e-12)
+                mix[at] = part
+            k = len(order)
+            yield pd.DataFrame({
+                "book_id": np.repeat(b.book_id.to_numpy(), k), "lang": np.repeat(b.lang.to_numpy(), k), "subject": order * len(b),
+                "n_paragraphs": np.repeat(b.n_paragraphs.to_numpy(), k), "labelled": seen.ravel(), "share": mix.ravel(),
+            })
 
     return run
 
