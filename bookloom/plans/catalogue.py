@@ -421,8 +421,11 @@ def epub_blocks(spark, d):
 
 
 def queries():
+    from bookloom.plans import books  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracles():
+    queries()
     return dict(ORACLES)
