@@ -262,7 +262,8 @@ def verdicts(scan: DataFrame) -> DataFrame:
         .select("lang", "after", "strong", "starts")
     )
     contexts = scan.where("kind = 'dot'").groupBy("lang", "before", "after").agg(F.sum("n").alias("n"))
-    contexts = contexts.join(starters, ["lang", "after"], "left").fillna({"strong": False, "starts": 0})
+    # written once: one row for each distinct context, read for the types and for the verdicts
+    contexts = materialise(contexts.join(starters, ["lang", "after"], "left").fillna({"strong": False, "starts": 0}))
     types = contexts.groupBy("lang", "before").agg(
         F.sum("n").alias("uses_before"), F.sum(F.when(F.col("strong"), F.col("n")).otherwise(0)).alias("strong_after")
     )
@@ -309,7 +310,7 @@ def sentence_ends(records: DataFrame) -> DataFrame:
     """(record_table, record_id, end_pos) of ``records(record_table, record_id, text, lang)``, keys counted once."""
     base = records.where(F.length(F.trim("text")) > 0).withColumn("lang", lang_code(F.col("lang")))
     scan = materialise(base.mapInPandas(_scan, PLACES))
-    told = verdicts(scan)
+    told = materialise(verdicts(scan))
     key = ["record_table", "record_id", "end_pos"]
     sure = scan.where("kind = 'sure'").select(*key)
     dots = scan.where("kind = 'dot'").join(told.where("kind = 'dot'").drop("kind"), ["lang", "before", "after"]).where("ends").select(*key)
