@@ -252,7 +252,11 @@ def verdicts(scan: DataFrame) -> DataFrame:
         .agg(F.sum("starts").alias("starts"))
     )
     caps = scan.where("kind = 'caps'").groupBy("lang", "after").agg(F.sum("n").alias("uses"))
-    both = starts.join(caps, ["lang", "after"], "left").withColumn("uses", F.greatest(F.coalesce("uses", "starts"), "starts").cast("double"))
+    # places whose period is still open say nothing about the token after them
+    undecided = scan.where("kind = 'dot' and not (length(before) >= 5 and lower(before) = before and not before rlike '[.]')")
+    undecided = undecided.groupBy("lang", "after").agg(F.sum("n").alias("undecided"))
+    both = starts.join(caps, ["lang", "after"], "left").join(undecided, ["lang", "after"], "left")
+    both = both.withColumn("uses", F.greatest(F.coalesce("uses", "starts") - F.coalesce("undecided", F.lit(0)), "starts").cast("double"))
     total = both.groupBy("lang").agg(F.sum("starts").alias("all_starts"), F.sum("uses").alias("all_uses"))
     starters = (
         both.join(F.broadcast(total), "lang")  # one row for each of at most twelve languages
