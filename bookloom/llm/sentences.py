@@ -64,6 +64,8 @@ REPORTING = {
     "hi": "कहा पूछा बोल चिल्ला".split(),
     "fa": "گفت پرسید زد پاسخ".split(),
 }
+# Words after a reporting verb that make it report a question of its own.
+INDIRECT = (" liệu ", " whether ", " if ", " ob ", " si ", " ли ")
 #: A type with fewer uses before a period than this is judged by its form.
 FEW = 4
 #: A type with this many uses before a period and hardly a starter after them is an abbreviation of any length.
@@ -81,7 +83,9 @@ PLACES = "record_table string, record_id long, lang string, end_pos int, kind st
 
 
 def _reports(lang: str, clause: str) -> bool:
-    clause = clause.lower()
+    clause = clause.lower() + " "
+    if any(w in clause for w in INDIRECT):
+        return False
     return any(v.replace("_", " ") in clause for v in REPORTING.get(lang, ()))
 
 
@@ -136,7 +140,7 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
                     continue
             elif tail[0] in ",，、،;:—–-" or tail[0].islower() and not _upper(re.split(r"\s", tail, maxsplit=1)[0], tail):
                 continue
-            elif _reports(lang, " ".join(clause.split()[: 3 if not caseless else 6])):
+            elif _reports(lang, " ".join(clause.split()[: 4 if not caseless else 6])):
                 continue
             elif caseless and text[begin:opened].strip():
                 continue
