@@ -166,6 +166,16 @@ def features(line: str) -> tuple[int, int]:
     running = unspaced and len(rest) > 9 * max(1, len(tokens))
     ended = int(running or bool(SENTENCE_END.search(rest)))
     r = _repeated(rest, low)
+    if r >= 0.12 and ended:
+        # sentences said again count once, if they are sentences
+        kept, once = [], set()
+        for part in SENTENCE_END.split(rest):
+            if len(part) < (6 if cjk else 12) or part.strip() not in once:
+                kept.append(part)
+                once.add(part.strip())
+        if len(kept) <= len(SENTENCE_END.findall(rest)):
+            again = " ".join(kept)
+            r = _repeated(again, [t for t in (t.strip(EDGES) for t in again.lower().translate(LEET).replace("_", " ").split()) if t])
     longest = max(map(len, tokens), default=0)
     if not unspaced and longest >= 40 and longest * 3 > len(rest):
         r = 0.0
