@@ -79,6 +79,18 @@ def plain(c: str, lang: str) -> str:
     return c
 
 
+class _Plain(dict):
+    """Code point -> plain form, worked out when it is first met."""
+
+    def __init__(self, lang: str):
+        super().__init__()
+        self.lang = lang
+
+    def __missing__(self, point: int) -> str:
+        out = self[point] = plain(chr(point), self.lang)
+        return out
+
+
 class Forms:
     """The consistent form of texts in one language, with a quick test for texts that are in it."""
 
@@ -90,7 +102,7 @@ class Forms:
         ascii_part = " -~\n\r\t" if not self.russian else " -@[-`{-~\n\r\t"
         self.odd = re.compile(f"[^{ascii_part}{re.escape(''.join(sorted(ordinary)))}]")
         self.sequences = SEQUENCES.get(lang, {})
-        self.table: dict[str, str] = {}
+        self.table = _Plain(lang)
         self.word = re.compile(r"[^\W\d_]+(?:[^\W_]*)")
         self.likes = CYRILLIC | GREEK | GREEK_LOOSE | ARMENIAN
 
@@ -99,8 +111,7 @@ class Forms:
             return text
         out = text
         if not out.isascii():
-            out = "".join(self._plain(c) for c in out)
-            out = unicodedata.normalize("NFC", out)
+            out = unicodedata.normalize("NFC", out.translate(self.table))
         for a, b in self.sequences.items():
             out = out.replace(a, b)
         if self.lang == "fa":
@@ -117,12 +128,6 @@ class Forms:
             out = re.sub(r"(?<=[゠-ヿ])[力口二工卜夕八](?=[゠-ヿ])", lambda m: KANA_IN_KANJI[m[0]], out)
         return out
 
-    def _plain(self, c: str) -> str:
-        p = self.table.get(c)
-        if p is None:
-            p = self.table[c] = plain(c, self.lang)
-        return p
-
     def _signs(self, text: str) -> str:
         if self.lang == "vi":
             text = text.replace("Ð", "Đ").replace("Ɖ", "Đ")
