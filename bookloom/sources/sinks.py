@@ -72,3 +72,49 @@ def write_epubs(chapters: DataFrame, folder: str) -> DataFrame:
         return pd.DataFrame({"book_id": [book], "path": [path], "bytes": [len(data)]})
 
     return chapters.groupBy("book_id").applyInPandas(run, "book_id long, path string, bytes long")
+
+
+def concat_wav(parts: list[bytes]) -> bytes:
+    """One recording of several, in order; they must agree in channels, width and rate."""
+    import wave
+
+    out, form = io.BytesIO(), None
+    with wave.open(out, "wb") as w:
+        for part in parts:
+            with wave.open(io.BytesIO(part)) as r:
+                own = (r.getnchannels(), r.getsampwidth(), r.getframerate())
+                if form is None:
+                    form = own
+                    w.setnchannels(own[0])
+                    w.setsampwidth(own[1])
+                    w.setframerate(own[2])
+                if own != form:
+                    raise ValueError(f"recordings differ: {form} and {own}")
+                w.writeframes(r.readframes(r.getnframes()))
+        if form is None:
+            raise ValueError("no recordings")
+    return out.getvalue()
+
+
+def joined_recordings(parts: DataFrame) -> DataFrame:
+    """``parts(book_id, chapter_index, segment_no, content)`` as one recording for each chapter."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment_no", kind="stable")
+        kept = [bytes(c) for c in pdf.content if c is not None]
+        joined = concat_wav(kept) if kept else None
+        return pd.DataFrame({"book_id": [int(pdf.book_id.iloc[0])], "chapter_index": [int(pdf.chapter_index.iloc[0])], "content": [joined]})
+
+    return parts.groupBy("book_id", "chapter_index").applyInPandas(run, "book_id long, chapter_index int, content binary")
+
+
+def write_metadata(samples: DataFrame, path: str) -> None:
+    """``samples(file_name, text[, codes])`` as pipe-separated lines without a header."""
+    columns = ["file_name", "text"] + (["codes"] if "codes" in samples.columns else [])
+    out = samples.withColumn("codes", F.to_json("codes")) if "codes" in columns else samples
+    out.select(*columns).write.mode("overwrite").option("sep", "|").option("quote", "").option("escape", "").csv(path)
+
+
+def write_stage(df: DataFrame, folder: str, job_id: str, stage: str) -> None:
+    """A stage's rows as JSON under job_id=/stage=, beside those of other stages."""
+    df.withColumns({"job_id": F.lit(job_id), "stage": F.lit(stage)}).write.mode("append").partitionBy("job_id", "stage").json(folder)

@@ -39,3 +39,31 @@ def test_wav_and_metadata(spark, tmp_path):
 def test_text_files(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes("Xin chào\nbạn".encode() + b"\xff")
     assert books.read_text(spark, str(tmp_path)).first().text == "Xin chào\nbạn"
+
+
+def recording(frames, rate=8000):
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate), w.writeframes(b"\1\0" * frames)
+    return out.getvalue()
+
+
+def test_join_recordings(spark):
+    import pytest
+
+    rows = [(1, 1, 1, recording(30)), (1, 1, 0, recording(20)), (1, 2, 0, None)]
+    df = spark.createDataFrame([(a, b, c, bytearray(d) if d else None) for a, b, c, d in rows], "book_id long, chapter_index int, segment_no int, content binary")
+    got = {r.chapter_index: r.content for r in sinks.joined_recordings(df).collect()}
+    assert got[2] is None and abs(books.wav_seconds(bytes(got[1])) - 50 / 8000) < 1e-9
+    with pytest.raises(ValueError):
+        sinks.concat_wav([recording(1), recording(1, 16000)])
+
+
+def test_metadata_and_stage_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a.wav", "hello there", [1, 2]), ("b.wav", "x", [])], "file_name string, text string, codes array<int>")
+    sinks.write_metadata(df, str(tmp_path / "m"))
+    assert sorted(map(tuple, books.read_metadata(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, df.collect()))
+    for stage in ("01_parse", "02_clean"):
+        sinks.write_stage(df, str(tmp_path / "s"), "j1", stage)
+    got = spark.read.json(str(tmp_path / "s"))
+    assert {(r.job_id, r.stage) for r in got.select("job_id", "stage").collect()} == {("j1", "01_parse"), ("j1", "02_clean")} and got.count() == 4
