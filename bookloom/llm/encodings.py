@@ -337,7 +337,7 @@ class Model:
 
     def plain(self, text: str) -> float:
         """How likely the letters of a text are in the language, whatever their case."""
-        return sum(self.folded.get(c, -14.0) for c in text.lower() if c.isalpha() or ord(c) >= 160 and unicodedata.category(c)[0] not in "ZMC")
+        return sum(self.folded.get(c, -14.0) for c in text.lower() if c.isalpha() or ord(c) >= 160 and c not in self.own and unicodedata.category(c)[0] not in "ZMC")
 
     def index(self, codes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.points, codes)
