@@ -67,3 +67,10 @@ def test_metadata_and_stage_round_trip(spark, tmp_path):
         sinks.write_stage(df, str(tmp_path / "s"), "j1", stage)
     got = spark.read.json(str(tmp_path / "s"))
     assert {(r.job_id, r.stage) for r in got.select("job_id", "stage").collect()} == {("j1", "01_parse"), ("j1", "02_clean")} and got.count() == 4
+
+
+def test_epub_data_source(spark, tmp_path):
+    (tmp_path / "book.epub").write_bytes(sinks.epub_bytes("b", [("One", ["first", "second"]), ("Two", ["third"])]))
+    spark.dataSource.register(books.EpubSource)
+    got = spark.read.format("epub").load(str(tmp_path)).orderBy("item_no", "block_no").collect()
+    assert [(r.kind, r.text) for r in got] == [("heading", "One"), ("paragraph", "first"), ("paragraph", "second"), ("heading", "Two"), ("paragraph", "third")]
