@@ -192,10 +192,9 @@ def _encode(path: str, lengths: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
             # parts bound what one batch of long texts needs
-            for at in range(0, len(texts), TEXTS):
-                ids = coder.encode(texts[at : at + TEXTS])
+            for at in range(0, b.num_rows, TEXTS):
+                ids = coder.encode(b.column(1).slice(at, TEXTS).to_pylist())
                 keys = b.column(0).slice(at, len(ids))
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 if lengths:
