@@ -6,7 +6,11 @@ token before it and the token after it.  Counts over these places give
 
 * sentence starters: tokens whose share of sentence-initial uses (record starts
   and places after unambiguous marks) is high by a log-likelihood ratio;
-* abbreviations: token types before a period that starters do not follow;
+* abbreviations: token types before a period that starters do not follow; a long
+  type only where log-likelihood ratios tie it to its period and keep starters
+  from it;
+* collocations: numbers and initials and the token after their period that a
+  log-likelihood ratio ties together (a date's month), where that is no starter;
 * for scripts that end sentences with a space only, chunks that never begin a
   record although they are frequent, as wholes, by prefix or by suffix.
 
@@ -50,6 +54,7 @@ WORD_BEFORE = re.compile(r"\S+\Z")
 WORD_AFTER = re.compile(r"[\"'“‘«„(\[¿¡—–-]*\s*([^\s.,;:!?…”»\")\]]+)")
 NUMBER = re.compile(r"[\d.,]*\d[\d.,]*\Z")
 TOKEN = re.compile(r"[^\W\d_][\w'’-]*")
+DOTTED = re.compile(r"([^\W\d_][\w'’-]*)\.(?!\w)")
 # Verbs of clauses that report speech, as stems.
 REPORTING = {
     "vi": "hỏi nói gọi đáp kêu hét thét bảo reo thì_thầm trả_lời".split(),
@@ -68,14 +73,14 @@ REPORTING = {
 INDIRECT = (" liệu ", " whether ", " if ", " ob ", " si ", " ли ")
 #: A type with fewer uses before a period than this is judged by its form.
 FEW = 4
-#: A type with this many uses before a period and hardly a starter after them is an abbreviation of any length.
-MANY = 20
 #: Share of starters after a type from which its period ends sentences.
 TERMINAL_SHARE = 0.2
 #: Share of sentence-initial uses from which a token is a strong starter.
 STARTER_SHARE = 0.75
-#: Log-likelihood ratio (chi-square, p about 0.005) that a starter must reach.
+#: Log-likelihood ratio (chi-square, p about 0.005) that starters, abbreviations and collocations must reach.
 STARTER_LLR = 7.88
+#: Share of sentence-initial uses from which a token can open a sentence after a number or an unclear type.
+OPENS_SHARE = 0.05
 #: A chunk of a space-ended script this frequent that never begins a record is no starter.
 CHUNK_FEW = 8
 
@@ -219,14 +224,20 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         first: Counter = Counter()
         caps: Counter = Counter()
+        low: Counter = Counter()
+        dotted: Counter = Counter()
         for name, key, text, lang in zip(b.record_table, b.record_id, b.text, b.lang):
             found, start = places(text, lang)
             rows += [(name, key, lang, p, kind, w, a, 1) for p, kind, w, a in found]
             first[lang, start] += 1
             if lang not in CASELESS:
-                caps.update((lang, w) for w in TOKEN.findall(text) if not w.islower())
+                for w in TOKEN.findall(text):
+                    (low if w.islower() else caps)[lang, w] += 1
+                if "." in text:
+                    dotted.update((lang, w) for w in DOTTED.findall(text))
         rows += [(None, None, lang, None, "first", None, w, n) for (lang, w), n in first.items()]
-        rows += [(None, None, lang, None, "caps", None, w, n) for (lang, w), n in caps.items()]
+        for kind, counts in (("caps", caps), ("low", low), ("dotted", dotted)):
+            rows += [(None, None, lang, None, kind, None, w, n) for (lang, w), n in counts.items()]
         yield pd.DataFrame(rows, columns=names).astype({"record_id": "Int64", "end_pos": "Int32"})
 
 
@@ -240,6 +251,25 @@ def _llr(k1, n1, k2, n2):
     return 2 * (part(k1, n1, p1) + part(k2, n2, p2) - part(k1, n1, p) - part(k2, n2, p))
 
 
+def _told(k: str, n: str, all_k: str, all_n: str):
+    """Dunning's ratio of k in n against all the other uses, the share in n and the share in the others."""
+    one = [F.greatest(F.col(c).cast("double"), F.lit(0.0)) for c in (k, n, all_k, all_n)]
+    k1, n1 = F.least(one[0], one[1]), F.greatest(one[1], F.lit(1e-9))
+    k2, n2 = F.greatest(one[2] - one[0], F.lit(0.0)), F.greatest(one[3] - one[1], F.lit(1e-9))
+    k2 = F.least(k2, n2)
+    return _llr(k1, n1, k2, n2), k1 / n1, k2 / n2
+
+
+def _more(*counts: str):
+    llr, share, others = _told(*counts)
+    return (llr >= STARTER_LLR) & (share > others)
+
+
+def _less(*counts: str):
+    llr, share, others = _told(*counts)
+    return (llr >= STARTER_LLR) & (share < others)
+
+
 def verdicts(scan: DataFrame) -> DataFrame:
     """(lang, kind, before, after) -> ends, for contexts that depend on statistics."""
     starts = (
@@ -260,21 +290,36 @@ def verdicts(scan: DataFrame) -> DataFrame:
     undecided = scan.where("kind = 'dot' and not (length(before) >= 5 and lower(before) = before and not before rlike '[.]')")
     undecided = undecided.groupBy("lang", "after").agg(F.sum("n").alias("undecided"))
     both = starts.join(caps, ["lang", "after"], "left").join(undecided, ["lang", "after"], "left")
+    # of all its uses, those after open periods too
+    both = both.withColumn("opens", F.col("starts") >= OPENS_SHARE * F.coalesce("uses", "starts"))
     both = both.withColumn("uses", F.greatest(F.coalesce("uses", "starts") - F.coalesce("undecided", F.lit(0)), "starts").cast("double"))
     total = both.groupBy("lang").agg(F.sum("starts").alias("all_starts"), F.sum("uses").alias("all_uses"))
     starters = (
         both.join(F.broadcast(total), "lang")  # one row for each of at most twelve languages
         .withColumn("llr", _llr(F.col("starts") * 1.0, F.col("uses"), F.col("all_starts") - F.col("starts") + 0.0, F.col("all_uses") - F.col("uses") + 1e-9))
-        .select("lang", "after", (F.col("starts") >= STARTER_SHARE * F.col("uses")).alias("often"), "llr", F.col("starts").alias("starts"))
+        .select("lang", "after", (F.col("starts") >= STARTER_SHARE * F.col("uses")).alias("often"), "llr", "opens")
         .withColumn("strong", F.col("often") & (F.col("llr") >= STARTER_LLR) & ~F.col("after").isin("#", ""))
-        .select("lang", "after", "strong", "starts")
+        .select("lang", "after", "strong", "opens")
     )
     contexts = scan.where("kind = 'dot'").groupBy("lang", "before", "after").agg(F.sum("n").alias("n"))
     # written once: one row for each distinct context, read for the types and for the verdicts
-    contexts = materialise(contexts.join(starters, ["lang", "after"], "left").fillna({"strong": False, "starts": 0}))
+    contexts = materialise(contexts.join(starters, ["lang", "after"], "left").fillna({"strong": False, "opens": False}))
     types = contexts.groupBy("lang", "before").agg(
         F.sum("n").alias("uses_before"), F.sum(F.when(F.col("strong"), F.col("n")).otherwise(0)).alias("strong_after")
     )
+    # Dunning's ratios of (type, period), of (type, starter after the period) and of (before, after)
+    uses = scan.where("kind in ('caps', 'low', 'dotted')").groupBy("lang", F.col("after").alias("before")).agg(
+        F.sum(F.when(F.col("kind") == "dotted", F.col("n")).otherwise(0)).alias("periods"), F.sum(F.when(F.col("kind") == "dotted", 0).otherwise(F.col("n"))).alias("tokens")
+    )
+    sums = uses.groupBy("lang").agg(F.sum("periods").alias("all_periods"), F.sum("tokens").alias("all_tokens"))
+    dots_of = types.groupBy("lang").agg(F.sum("uses_before").alias("all_dots"), F.sum("strong_after").alias("all_strong"))
+    per_lang = dots_of.join(sums, "lang", "left")
+    types = types.join(uses, ["lang", "before"], "left").join(F.broadcast(per_lang), "lang")  # one row for each of at most twelve languages
+    # a type that no token is like (it holds periods) is tied to its period by its form
+    tied = F.coalesce(_more("periods", "tokens", "all_periods", "all_tokens"), F.lit(True))
+    shunned = _less("strong_after", "uses_before", "all_strong", "all_dots")
+    types = types.select("lang", "before", "uses_before", "strong_after", "all_dots", (tied & shunned).alias("abbreviated"))
+    afters = contexts.groupBy("lang", "after").agg(F.sum("n").alias("uses_after"))
     # where another mark ends most sentences, a period is an abbreviation's
     danda = scan.where("kind = 'sure'").groupBy("lang").agg(F.avg(F.col("before").contains("।").cast("double")).alias("danda"))
     letters = F.length(F.regexp_replace("before", r"[^\p{L}]", ""))
@@ -284,15 +329,20 @@ def verdicts(scan: DataFrame) -> DataFrame:
     ends = (
         F.when(F.coalesce("danda", F.lit(0.0)) > 0.5, F.lit(False))
         .when(caseless, letters >= 1)
-        .when(F.col("before").isin("#", ""), F.col("starts") > 0)
+        .when(F.col("collocated"), F.lit(False))
+        .when(F.col("before").isin("#", ""), F.col("opens"))
         .when(F.col("uses_before") < FEW, by_form | F.col("strong"))
-        .when((share >= TERMINAL_SHARE) & ((letters > 3) | F.col("before").contains(".")), (F.col("starts") > 0) | (letters > 3))
-        .when(share >= TERMINAL_SHARE, (F.col("starts") > 0) | F.col("after").isin("#") & (letters > 2))
-        .when((letters > 5) & ~F.col("before").contains(".") & ((F.col("uses_before") < MANY) | (share > 0.02)), F.lit(True))
+        .when((share >= TERMINAL_SHARE) & ((letters > 3) | F.col("before").contains(".")), F.col("opens") | (letters > 3))
+        .when(share >= TERMINAL_SHARE, F.col("opens") | F.col("after").isin("#") & (letters > 2))
+        .when((letters > 5) & ~F.col("before").contains(".") & ~F.col("abbreviated"), F.lit(True))
         .otherwise(F.col("strong"))
     )
     dots = (
-        contexts.join(types, ["lang", "before"]).join(F.broadcast(danda), "lang", "left").select("lang", F.lit("dot").alias("kind"), "before", "after", ends.alias("ends"))
+        contexts.join(types, ["lang", "before"])
+        .join(afters, ["lang", "after"])
+        .withColumn("collocated", _more("n", "uses_before", "uses_after", "all_dots") & ~F.col("strong") & ~F.col("opens") & ((F.col("before") == "#") | (letters == 1)))
+        .join(F.broadcast(danda), "lang", "left")
+        .select("lang", F.lit("dot").alias("kind"), "before", "after", ends.alias("ends"))
     )
     # scripts that end sentences with a space: chunks that do and do not begin records
     seen = scan.where(F.col("lang").isin(*SPACE_ENDS) & F.col("kind").isin("gap", "first")).groupBy("lang", "after").agg(
