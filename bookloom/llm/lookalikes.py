@@ -13,6 +13,8 @@ Defined results
   spaces and line breaks: itself.
 * words in a foreign script stay as they are; a word that mixes scripts, or
   whose letters all look like the language's own, is taken to be the language's.
+  In a language written in neither, a word that mixes Latin, Cyrillic, Greek or
+  Armenian letters is taken to be of the script that most of its letters have.
 * an unknown or null language: only what is odd in every language is replaced.
 * keys delivered twice count once; columns other than key, text and language
   are not read.
@@ -42,6 +44,8 @@ ARMENIAN = dict(zip("օսհոցՏԼ", "ouhngSL", strict=True))
 LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ǀ": "l", "ꞌ": "'", "ʼ": "'", "‐": "-", "‑": "-"}
 # Latin letters that look like Russian ones.
 TO_RUSSIAN = dict(zip("aeopcyxABEKMHOPCTYX", "аеорсухАВЕКМНОРСТУХ", strict=True)) | {"ë": "ё", "Ë": "Ё"}
+# Greek letters that look like them are Russian ones too.
+GREEK_TO_RUSSIAN = {c: TO_RUSSIAN[p] for c, p in GREEK.items() if p in TO_RUSSIAN}
 # Arabic letters and digits where Persian has its own.
 PERSIAN = dict(zip("يكىٸ٠١٢٣٤٥٦٧٨٩", "یکیئ۰۱۲۳۴۵۶۷۸۹", strict=True))
 # Sequences drawn as one letter.
@@ -53,6 +57,9 @@ SEQUENCES = {
 KANA_IN_KANJI = dict(zip("力口二工卜夕八一", "カロニエトタハー", strict=True))
 HIRAGANA_IN_KATAKANA = dict(zip("へべぺり", "ヘベペリ", strict=True))
 
+# The skeleton's prototypes of letters, without those that only a Latin language's words can tell.
+_STRICT = CYRILLIC | GREEK | ARMENIAN
+
 #: Kinds of compatibility decomposition after which a reader sees the same character.
 SAME = {"<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 UNSEEN = {"­", "͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ"}
@@ -105,6 +112,7 @@ class Forms:
         self.table = _Plain(lang)
         self.word = re.compile(r"[^\W\d_]+(?:[^\W_]*)")
         self.likes = CYRILLIC | GREEK | GREEK_LOOSE | ARMENIAN
+        self.alphabetic = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏḀ-ỿͰ-ԯԱ-֏]{2,}")
 
     def __call__(self, text: str) -> str:
         if not self.odd.search(text) and not (self.sequences and any(s in text for s in self.sequences)) and self.lang != "ja":
@@ -122,9 +130,11 @@ class Forms:
                 out = self.word.sub(self._latin_word, out)
         elif self.russian:
             out = out.translate({ord("‐"): "-", ord("‑"): "-"})
-            if re.search(r"[A-Za-zëË]", out):
+            if re.search(r"[A-Za-zëËͰ-Ͽ]", out):
                 out = self.word.sub(self._russian_word, out)
-        elif self.lang == "ja":
+        elif re.search(r"[Ͱ-ԯԱ-֏]", out):
+            out = self.alphabetic.sub(self._mixed_word, out)
+        if self.lang == "ja":
             out = re.sub(r"(?<=[゠-ヿ])[力口二工卜夕八](?=[゠-ヿ])", lambda m: KANA_IN_KANJI[m[0]], out)
         return out
 
@@ -146,15 +156,35 @@ class Forms:
     def _russian_word(self, m: re.Match) -> str:
         w = m[0]
         latin = [c for c in w if c.isascii() and c.isalpha() or c in "ëË"]
-        if not latin:
+        greek = [c for c in w if "Ͱ" <= c < "Ѐ"]
+        if not latin and not greek:
             return w
         mixed = any("Ѐ" <= c < "԰" for c in w)
-        if mixed and all(c in TO_RUSSIAN for c in latin):
-            return "".join(TO_RUSSIAN.get(c, c) for c in w)
+        if mixed and all(c in TO_RUSSIAN for c in latin) and all(c in GREEK_TO_RUSSIAN for c in greek):
+            return "".join(TO_RUSSIAN.get(c) or GREEK_TO_RUSSIAN.get(c, c) for c in w)
         if not mixed and all(c in TO_RUSSIAN for c in w) and (len(w) == 1 or not w.isupper() or self._among_capitals(m)):
             return "".join(TO_RUSSIAN.get(c, c) for c in w)
         return w
 
+    @staticmethod
+    def _mixed_word(m: re.Match) -> str:
+        """A Latin or Russian word with letters of another script, in a language that is written in neither.
+
+        Words of one script are foreign words; the skeleton's letters decide, in the script that most letters have.
+        """
+        w = m[0]
+        latin = [c for c in w if c < "Ͱ" or "Ḁ" <= c < "ἀ"]
+        foreign = [c for c in w if "Ͱ" <= c < "֐"]
+        russian = [c for c in foreign if "Ѐ" <= c < "԰"]
+        if latin and foreign and all(c in _STRICT for c in foreign) and len(latin) >= len(russian):
+            return "".join(_STRICT.get(c, c) for c in w)
+        rest = {c for c in w if not "Ѐ" <= c < "԰"}
+        if russian and rest and all(c in TO_RUSSIAN or c in GREEK_TO_RUSSIAN for c in rest):
+            return "".join(TO_RUSSIAN.get(c) or GREEK_TO_RUSSIAN.get(c, c) for c in w)
+        if latin and foreign and all(c in _STRICT for c in foreign):
+            return "".join(_STRICT.get(c, c) for c in w)
+        return w
+
     @staticmethod
     def _among_capitals(m: re.Match) -> bool:
         near = m.string[max(0, m.start() - 12) : m.start()] + m.string[m.end() : m.end() + 12]
