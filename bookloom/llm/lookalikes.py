@@ -56,6 +56,8 @@ SEQUENCES = {
 # Katakana, kanji and signs that look alike.
 KANA_IN_KANJI = dict(zip("力口二工卜夕八一", "カロニエトタハー", strict=True))
 HIRAGANA_IN_KATAKANA = dict(zip("へべぺり", "ヘベペリ", strict=True))
+# へ and り can stand between words: only a kana that begins no word tells that the word goes on.
+HIRAGANA_INSIDE = re.compile(r"(?<=[ァ-ヺー])(?:[べぺ](?=[ァ-ヺー])|[へり](?=[ンッァィゥェォャュョー]))")
 
 # The skeleton's prototypes of letters, without those that only a Latin language's words can tell.
 _STRICT = CYRILLIC | GREEK | ARMENIAN
@@ -136,6 +138,7 @@ class Forms:
             out = self.alphabetic.sub(self._mixed_word, out)
         if self.lang == "ja":
             out = re.sub(r"(?<=[゠-ヿ])[力口二工卜夕八](?=[゠-ヿ])", lambda m: KANA_IN_KANJI[m[0]], out)
+            out = HIRAGANA_INSIDE.sub(lambda m: HIRAGANA_IN_KATAKANA[m[0]], out)
         return out
 
     def _signs(self, text: str) -> str:

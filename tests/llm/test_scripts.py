@@ -16,3 +16,10 @@ def test_mixed_words_outside_latin_languages(lang):
 
 def test_greek_letters_in_russian_words():
     assert lookalikes.form("Μοсква", "ru") == "Москва" and lookalikes.form("угол α", "ru") == "угол α"
+
+
+def test_hiragana_in_katakana_words():
+    form = lookalikes.form
+    assert form("アルファべット", "ja") == "アルファベット" and form("モへンジョ", "ja") == "モヘンジョ" and form("アりー", "ja") == "アリー"
+    for same in ("ロンドンへバスで", "へえ", "サボり", "エンジン力", "ビル一つ"):
+        assert form(same, "ja") == same
