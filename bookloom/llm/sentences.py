@@ -46,9 +46,10 @@ NO_SPACE = {"zh", "ja"}
 SPACE_ENDS = {"th"}
 MARKS = re.compile(r"[.!?…。！？।؟۔]+")
 CLOSERS = "\"'”’»」』)]"
-SPANS = re.compile(
-    r"“[^“”]{0,600}”|«[^«»]{0,600}»|„[^„“]{0,600}“|「[^「」]{0,600}」|『[^『』]{0,600}』|\"[^\"\n]{1,400}\"|\([^()\n]{1,300}\)|（[^（）]{1,300}）"
-)
+# each sign scans to the next one of its kind, so a search is linear
+SPANS = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“]*“|「[^「」]*」|『[^『』]*』|\"[^\"\n]+\"|\([^()\n]+\)|（[^（）]+）")
+BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
+WHITE = re.compile(r"\s*")
 SPAN_SIGNS = re.compile(r"[“«„「『\"(（]")
 WORD_BEFORE = re.compile(r"\S+\Z")
 WORD_AFTER = re.compile(r"[\"'“‘«„(\[¿¡—–-]*\s*([^\s.,;:!?…”»\")\]]+)")
@@ -110,7 +111,7 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
     """
     n = len(text)
     caseless = lang in CASELESS
-    spans = [(m.start(), m.end()) for m in SPANS.finditer(text)] if SPAN_SIGNS.search(text) else []
+    spans = _spans(text) if SPAN_SIGNS.search(text) else []
     out = []
     k, begin = 0, 0
     for m in MARKS.finditer(text):
@@ -120,8 +121,7 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
         closed = False
         opened = s
         if k < len(spans) and spans[k][0] < s < spans[k][1]:
-            inside = text[e : spans[k][1]]
-            if len(inside) != len(inside.rstrip(CLOSERS + "“ ")) and not inside.strip(CLOSERS + "“ "):
+            if e >= spans[k][2]:
                 if text[spans[k][0]] in "(（":
                     continue
                 opened, e, closed = spans[k][0], spans[k][1], True
@@ -132,11 +132,11 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
                 e += 1
         if e >= n:
             continue
-        rest = text[e : e + 80]
-        tail = rest.lstrip()
+        at = WHITE.match(text, e).end()
+        tail = text[at : at + 80]
         if not tail:
             continue
-        spaced = rest[0].isspace()
+        spaced = at > e
         mark = m.group()
         if closed:
             clause = re.split(r"[.!?…。！？।؟۔\n]", tail, maxsplit=1)[0][:40]
@@ -193,14 +193,28 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
             if k < len(spans) and spans[k][0] < s < spans[k][1] or s == 0 or e >= n:
                 continue
             out.append((s, "gap", _chunk(_before(text, s)), _chunk(re.split(r"\s", text[e : e + 200], maxsplit=1)[0])))
-    for m in re.finditer(r"\n[^\S\n]*\n\s*", text):
+    for m in BLANK_LINE.finditer(text):
         end = len(text[: m.start()].rstrip())
         if 0 < end and m.end() < n and not any(p[0] == end for p in out):
             out.append((end, "sure", "\n", _after(text[m.end() : m.end() + 80])))
-    first = _chunk(text.split(maxsplit=1)[0]) if lang in SPACE_ENDS and text.strip() else _after(text[:80].lstrip())
+    first = _chunk(text.split(maxsplit=1)[0]) if lang in SPACE_ENDS and text.strip() else _after(text.lstrip()[:80])
     return out, first
 
 
+def _spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, where the closing signs begin) of quotations and brackets, of any length within a paragraph."""
+    out = []
+    at = 0
+    for stop in [*(m.start() for m in BLANK_LINE.finditer(text)), len(text)]:
+        for m in SPANS.finditer(text, at, stop):
+            core = m.end()
+            while core > m.start() and text[core - 1] in CLOSERS + "“ ":
+                core -= 1
+            out.append((m.start(), m.end(), core))
+        at = stop
+    return out
+
+
 def _chunk(word: str) -> str:
     return "#" if NUMBER.match(word) else word[:200]
 
