@@ -6,9 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A table of at most this many rows of a few numbers may be broadcast; its rows are counted first.
+MOST_BROADCAST = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,43 +22,104 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``MOST_BROADCAST`` rows; else it is left to be shuffled."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def once_of(spark: SparkSession, sf_dir: str, name: str, keys: list[str], columns: list[str | Column], where: str | Column | None = None) -> DataFrame:
+    """Keys and columns of a table with each key once, for wide columns: only the keys are shuffled.
+
+    A row is known by its file and its place in it.  Of the few keys that are delivered more than once a table says
+    which row stays; it is broadcast if its counted size allows, and meets the rows in a shuffled join if not.
+    """
+    raw = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    raw = raw.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    if where is not None:
+        raw = raw.where(where)
+    twice = raw.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_row").alias("_kept")).where("n > 1").drop("n")
+    twice = small(materialise(twice.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_kept")))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return raw.join(twice, same, "left").where("_kept is null or _kept = _row").select(*keys, *columns)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local session without one gets a folder of its own.
+
+    A cluster without a shared folder is an error, as executors couldn't read each other's files.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not at and known.isDefined():
+        at = known.get()
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + os.path.join(tempfile.gettempdir(), "bookloom-checkpoints")
+    return at.rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the folder in spark.checkpoint.dir and read it again."""
+    """Write an intermediate table to the shared folder and read it again.
+
+    It survives the loss of executors and is used more than once without being computed again.  The folder
+    belongs to one call and is deleted when the application ends.
+    """
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "bookloom-checkpoints")
-    at = f"{at.rstrip('/')}/bookloom/{uuid.uuid4().hex}"
+    at = f"{checkpoint_dir(spark)}/bookloom/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], **values) -> DataFrame:
-    """Running values of ``values``: name=(column, 'sum' | 'max' | 'count' | 'last').
+    """Running values of ``values``: name=(column, 'sum' | 'max' | 'count' | 'last' | 'lag').
 
     Rows are sorted by range on keys and order, so that a key with a third of all
     rows is spread over as many ranges as it needs.  Values run within each range;
     what earlier ranges of the same key end with is added from a table with one
     row for each key and range.  Order columns must tell rows of a key apart.
     Nulls don't change a running value; before the first value it is null (count: 0).
+    'lag' is the value of the row before, null in a key's first row.
     """
     ranged = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    local = inside.rowsBetween(Window.unboundedPreceding, 0)
     kinds = {"sum": F.sum, "max": F.max, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
     for name, (column, kind) in values.items():
-        ranged = ranged.withColumn(f"_{name}", kinds[kind](column).over(local))
-    at = [F.max_by(f"_{name}", F.struct(*order)).alias(f"_{name}_end") for name in values]
+        if kind == "lag":
+            ranged = ranged.withColumn(f"_{name}", F.lag(column).over(inside)).withColumn(f"_{name}_first", F.row_number().over(inside) == 1)
+        else:
+            ranged = ranged.withColumn(f"_{name}", kinds[kind](column).over(local))
+    at = [F.max_by(column if kind == "lag" else f"_{name}", F.struct(*order)).alias(f"_{name}_end") for name, (column, kind) in values.items()]
     ends = ranged.groupBy(*keys, "_part").agg(*at)
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*keys).orderBy("_part")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
     for name, (_, kind) in values.items():
-        carry = {"sum": F.sum, "count": F.sum, "max": F.max, "last": kinds["last"]}[kind]
-        ends = ends.withColumn(f"_{name}_before", carry(f"_{name}_end").over(before))
-    out = ranged.join(ends.select(*keys, "_part", *[f"_{n}_before" for n in values]), [*keys, "_part"])
+        carry = {"sum": F.sum, "count": F.sum, "max": F.max, "last": kinds["last"]}
+        ends = ends.withColumn(f"_{name}_before", F.lag(f"_{name}_end").over(ranges) if kind == "lag" else carry[kind](f"_{name}_end").over(before))
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_part"])], *[f"_{n}_before" for n in values])
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "_part"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = ranged.join(ends, same)
+    drop = ["_part", *[f"_k{i}" for i in range(len(keys) + 1)]]
     for name, (_, kind) in values.items():
         here, earlier = F.col(f"_{name}"), F.col(f"_{name}_before")
-        both = {
-            "sum": F.when(here.isNull(), earlier).otherwise(here + F.coalesce(earlier, F.lit(0))),
-            "count": here + F.coalesce(earlier, F.lit(0)),
-            "max": F.greatest(here, earlier),
-            "last": F.coalesce(here, earlier),
-        }[kind]
+        if kind == "lag":
+            both = F.when(F.col(f"_{name}_first"), earlier).otherwise(here)
+            drop.append(f"_{name}_first")
+        else:
+            both = {
+                "sum": F.when(here.isNull(), earlier).otherwise(here + F.coalesce(earlier, F.lit(0))),
+                "count": here + F.coalesce(earlier, F.lit(0)),
+                "max": F.greatest(here, earlier),
+                "last": F.coalesce(here, earlier),
+            }[kind]
         out = out.withColumn(name, both)
-    return out.drop("_part", *[f"_{n}" for n in values], *[f"_{n}_before" for n in values])
+        drop += [f"_{name}", f"_{name}_before"]
+    return out.drop(*drop)
