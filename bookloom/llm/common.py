@@ -1,54 +1,18 @@
-"""What the training-data operators share: reading, counting keys once, checkpoints."""
+"""What the training-data operators share: reading, counting keys once, intermediate tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The languages of the book tables; codes outside it form one group, "other".
-LANGS = ("vi", "en", "fr", "de", "es", "ru", "zh", "ja", "th", "hi", "fa")
-
-#: Rows of an Arrow batch handed to Python; bounds a worker's memory.
-BATCH_ROWS = 2000
+from bookloom.operators.tables import materialise, once, once_of, small, table
 
+__all__ = ["LANGS", "lang_code", "materialise", "once", "once_of", "small", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """One row for each key; rows of a key differ only in ``ingested_at``."""
-    return df.dropDuplicates(list(keys))
+#: The languages of the book tables; codes outside it form one group, "other".
+LANGS = ("vi", "en", "fr", "de", "es", "ru", "zh", "ja", "th", "hi", "fa")
 
 
 def lang_code(col) -> F.Column:
     """The primary subtag in lower case; null, blank and unknown codes give 'other'."""
     code = F.regexp_extract(F.lower(F.trim(col)), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     return F.when(code.isin(*LANGS), code).otherwise(F.lit("other"))
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, or one of our own where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "bookloom-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it again.
-
-    It survives the loss of executors and is used more than once without being
-    computed again.  The folder belongs to one call and is left to the cluster's
-    clean-up of the checkpoint directory.
-    """
-    spark = df.sparkSession
-    at = f"{checkpoint_dir(spark).rstrip('/')}/bookloom/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)

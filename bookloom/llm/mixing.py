@@ -68,9 +68,7 @@ def sized_documents(documents: DataFrame, weights: DataFrame, path: str | None =
     wanted = weights.where("target_share > 0 and max_repeats >= 1").select("source").distinct()
     # the list of sources is a table of settings; where it is large the join is shuffled
     used = documents.where("source is not null and length(text) > 0").join(wanted, "source", "left_semi").select("doc_id", "source", "text")
-    counts = token_counts(used, path).withColumnRenamed("doc_id", "id")
-    sources = documents.where("source is not null").select("doc_id", "source").join(wanted, "source", "left_semi")
-    return counts.join(sources, counts.id == sources.doc_id).where("n_tokens > 0").select("doc_id", "source", "n_tokens")
+    return token_counts(used, path, "source").where("n_tokens > 0").select("doc_id", "source", "n_tokens")
 
 
 def budgets(sized: DataFrame, weights: DataFrame, size: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from importlib.util import find_spec
 QUERIES = {
     "p1_found": "split",
     "p1_pieces": "split",
+    "p1_audit": "split",
     "p2_found": "subjects",
     "p2_shares": "subjects",
     "p3_found": "lookalikes",
@@ -20,6 +21,7 @@ QUERIES = {
     "p5_paragraphs": "scans",
     "p6_found": "sentences",
     "p6_sentences": "sentences",
+    "p6_complete": "sentences",
     "p7_ids": "tokenize",
     "p7_counts": "tokenize",
     "p8_mix": "mixing",
@@ -34,6 +36,6 @@ def queries():
 
 
 def oracles():
-    from bookloom.llm.split import P1_FOUND_SQL
+    from bookloom.llm import sentences, split
 
-    return {"p1_found": P1_FOUND_SQL}
+    return {"p1_found": split.P1_FOUND_SQL, "p1_audit": split.P1_AUDIT_SQL, "p6_complete": sentences.P6_COMPLETE_SQL}

@@ -38,7 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import lang_code, materialise, once, table
+from bookloom.functions import text as T
+from bookloom.llm.common import lang_code, materialise, once_of
 
 # Scripts and marks.
 CASELESS = {"zh", "ja", "th", "hi", "fa"}
@@ -51,7 +52,8 @@ SPANS = re.compile(r"“[^“”]*”|«[^«»]*»|„[^„“]*“|「[^「」]
 BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 WHITE = re.compile(r"\s*")
 SPAN_SIGNS = re.compile(r"[“«„「『\"(（]")
-WORD_BEFORE = re.compile(r"\S+\Z")
+STOP = re.compile(r"[.!?…。！？।؟۔\n]|\Z")
+RUN = re.compile(r"\S*")
 WORD_AFTER = re.compile(r"[\"'“‘«„(\[¿¡—–-]*\s*([^\s.,;:!?…”»\")\]]+)")
 NUMBER = re.compile(r"[\d.,]*\d[\d.,]*\Z")
 TOKEN = re.compile(r"[^\W\d_][\w'’-]*")
@@ -72,6 +74,9 @@ REPORTING = {
 }
 # Words after a reporting verb that make it report a question of its own.
 INDIRECT = (" liệu ", " whether ", " if ", " ob ", " si ", " ли ")
+# A reporting clause has its verb among so many first words, in unspaced scripts first characters.
+CLAUSE_WORDS, CASELESS_CLAUSE_WORDS, CLAUSE_CHARS = 4, 6, 40
+DASHES = re.compile(r"[—– -]*")
 #: A type with fewer uses before a period than this is judged by its form.
 FEW = 4
 #: Share of starters after a type from which its period ends sentences.
@@ -133,38 +138,38 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
         if e >= n:
             continue
         at = WHITE.match(text, e).end()
-        tail = text[at : at + 80]
-        if not tail:
+        if at >= n:
             continue
+        head = text[at]
         spaced = at > e
         mark = m.group()
         if closed:
-            clause = re.split(r"[.!?…。！？।؟۔\n]", tail, maxsplit=1)[0][:40]
+            clause = text[at : min(STOP.search(text, at).start(), at + CLAUSE_CHARS)]
             if lang in NO_SPACE:
                 if text[begin:opened].strip() or _reports(lang, clause):
                     continue
-            elif tail[0] in ",，、،;:—–-" or tail[0].islower() and not _upper(re.split(r"\s", tail, maxsplit=1)[0], tail):
+            elif head in ",，、،;:—–-" or head.islower() and not _upper(RUN.match(text, at)[0], True):
                 continue
-            elif _reports(lang, " ".join(clause.split()[: 4 if not caseless else 6])):
+            elif _reports(lang, " ".join(clause.split()[: CLAUSE_WORDS if not caseless else CASELESS_CLAUSE_WORDS])):
                 continue
             elif caseless and text[begin:opened].strip():
                 continue
-            out.append((e, "sure", mark, _after(tail)))
+            out.append((e, "sure", mark, _after(text, at)))
             begin = e
             continue
         if lang in NO_SPACE:
-            if mark[-1] in "。！？" or mark[-1] in "!?" and not tail[0].isascii():
-                out.append((e, "sure", mark, _after(tail)))
+            if mark[-1] in "。！？" or mark[-1] in "!?" and not head.isascii():
+                out.append((e, "sure", mark, _after(text, at)))
                 begin = e
             continue
-        after = _after(tail)
+        after = _after(text, at)
         dots = mark.strip("….")
         if lang in SPACE_ENDS:
             continue
         if not spaced:
             # a lost space: only a word's period before a capitalised word counts
-            if not (s > 1 and text[s - 1].isalpha() and text[s - 2].isalpha() and tail[0].isupper() and len(after) > 1 and not (text[s - 1].isupper())) and mark[-1] not in "।؟۔":
-                if not (dots and text[s - 1].isalnum() and tail[0].isupper()):
+            if not (s > 1 and text[s - 1].isalpha() and text[s - 2].isalpha() and head.isupper() and len(after) > 1 and not (text[s - 1].isupper())) and mark[-1] not in "।؟۔":
+                if not (dots and text[s - 1].isalnum() and head.isupper()):
                     continue
         if caseless:
             if dots:
@@ -173,11 +178,11 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
             elif mark == ".":
                 out.append((e, "dot", _before(text, s), after))
             continue
-        if tail[0] in "—–-" and not text[e : e + 2].strip("\n ") == "" :
-            nxt = tail.lstrip("—–- ")
-            if not nxt or not nxt[0].isupper():
+        if head in "—–-" and not text[e : e + 2].strip("\n ") == "":
+            nxt = DASHES.match(text, at).end()
+            if nxt >= n or not text[nxt].isupper():
                 continue
-        if not _upper(after, tail):
+        if not _upper(after, True):
             continue
         if dots or len(mark) > 1 or mark == "…":
             out.append((e, "sure", mark, after))
@@ -192,12 +197,13 @@ def places(text: str, lang: str) -> tuple[list[tuple[int, str, str, str]], str]:
                 k += 1
             if k < len(spans) and spans[k][0] < s < spans[k][1] or s == 0 or e >= n:
                 continue
-            out.append((s, "gap", _chunk(_before(text, s)), _chunk(re.split(r"\s", text[e : e + 200], maxsplit=1)[0])))
+            out.append((s, "gap", _chunk(_before(text, s)), _chunk(RUN.match(text, e)[0])))
     for m in BLANK_LINE.finditer(text):
         end = len(text[: m.start()].rstrip())
         if 0 < end and m.end() < n and not any(p[0] == end for p in out):
-            out.append((end, "sure", "\n", _after(text[m.end() : m.end() + 80])))
-    first = _chunk(text.split(maxsplit=1)[0]) if lang in SPACE_ENDS and text.strip() else _after(text.lstrip()[:80])
+            out.append((end, "sure", "\n", _after(text, m.end())))
+    at = WHITE.match(text).end()
+    first = _chunk(RUN.match(text, at)[0]) if lang in SPACE_ENDS else _after(text, at)
     return out, first
 
 
@@ -216,20 +222,23 @@ def _spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _chunk(word: str) -> str:
-    return "#" if NUMBER.match(word) else word[:200]
+    return "#" if NUMBER.match(word) else word
 
 
 def _before(text: str, end: int) -> str:
-    m = WORD_BEFORE.search(text, max(0, end - 60), end)
-    word = m.group().lstrip("\"'“‘«„([—–-") if m else ""
+    """The run of characters that aren't white space before a place."""
+    at = end
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    word = text[at:end].lstrip("\"'“‘«„([—–-")
     return "#" if NUMBER.match(word) else word
 
 
-def _after(tail: str) -> str:
-    m = WORD_AFTER.match(tail)
+def _after(text: str, at: int) -> str:
+    m = WORD_AFTER.match(text, at)
     if not m:
         return ""
-    return "#" if NUMBER.match(m[1]) else m[1][:60]
+    return "#" if NUMBER.match(m[1]) else m[1]
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,11 +399,12 @@ def sentence_ends(records: DataFrame) -> DataFrame:
     return sure.unionByName(dots).unionByName(gaps)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "paragraphs").where("origin = 'epub'")
+def records(spark: SparkSession, sf_dir: str, origin: str | None = "epub") -> DataFrame:
+    """Segments and paragraphs (of one origin, or all), each key once; texts stay where they are."""
+    p = once_of(spark, sf_dir, "paragraphs", ["paragraph_id"], ["text", "lang"], F.col("origin") == origin if origin else None)
     p = p.select(F.lit("paragraphs").alias("record_table"), F.col("paragraph_id").alias("record_id"), "text", "lang")
-    s = table(spark, sf_dir, "tts_segments").select(F.lit("tts_segments").alias("record_table"), F.col("segment_id").alias("record_id"), "text", "lang")
-    return once(p.unionByName(s), "record_table", "record_id")
+    s = once_of(spark, sf_dir, "tts_segments", ["segment_id"], ["text", "lang"])
+    return p.unionByName(s.select(F.lit("tts_segments").alias("record_table"), F.col("segment_id").alias("record_id"), "text", "lang"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,10 +423,24 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence units in order; a record of one sentence gives that one, a blank one none."""
-    rows = records(spark, sf_dir)
+    """Sentence units of every paragraph and segment, in order; a record of one sentence gives that one, a blank one none."""
+    rows = records(spark, sf_dir, origin=None)
     ends = sentence_ends(rows).groupBy("record_table", "record_id").agg(F.collect_list("end_pos").alias("ends"))
     texts = rows.where(F.length(F.trim("text")) > 0).join(ends, ["record_table", "record_id"], "left").select(
         "record_table", "record_id", "text", F.coalesce("ends", F.array().cast("array<int>")).alias("ends")
     )
     return texts.mapInPandas(_cut, "record_table string, record_id long, sentence_no int, sentence string")
+
+
+def p6_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every record's sentences make when put together, white space aside: nothing is lost and the order is kept."""
+    s = p6_sentences(spark, sf_dir).groupBy("record_table", "record_id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", "sentence"))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: x["sentence"]), "")
+    return s.select("record_table", "record_id", F.md5(F.regexp_replace(text, T.WS, "").cast("binary")).alias("digest"))
+
+
+P6_COMPLETE_SQL = f"""
+SELECT DISTINCT record_table, record_id, md5(regexp_replace(text, '{T.WS}', '', 'g')) AS digest FROM (
+  SELECT 'paragraphs' AS record_table, paragraph_id AS record_id, text FROM paragraphs UNION ALL SELECT 'tts_segments', segment_id, text FROM tts_segments)
+WHERE length(trim(text, ' ')) > 0
+"""

@@ -3,7 +3,8 @@
 Recursive bisection.  A text above its limit is cut at the strongest boundary
 near the middle; halves still above ``limit - overlap`` are cut again; at the
 end every piece but the first is prolonged to the left by at most ``overlap``
-code points, to a boundary where there is one.
+code points: to the furthest boundary that leaves at least half of them, else
+to the full overlap.
 
 Defined results
 ---------------
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import table
+from bookloom.llm.common import once_of, table
 
 # Boundaries from strong to weak; a cut is made at a match's end.
 BOUNDARIES = (
@@ -86,22 +87,27 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         todo += [(at, end), (start, at)]
     pieces = []
     for k, (start, end) in enumerate(cores):
-        if k and overlap:
-            lowest = start - overlap
-            for at in (places[2], places[3], places[4]):
-                j = bisect.bisect_left(at, lowest)
-                if j < len(at) and at[j] < start:
-                    start = at[j]
-                    break
-            else:
-                p = lowest
-                while p < start and _attached(text[p]):
-                    p += 1
-                start = p
-        pieces.append((start, end))
+        pieces.append((_prolonged(text, places, start, overlap) if k and overlap else start, end))
     return pieces
 
 
+def _prolonged(text: str, places: list[list[int]], start: int, overlap: int) -> int:
+    """Where a piece begins that shares up to ``overlap`` code points with the one before it.
+
+    The strongest kind of boundary that leaves at least half of the overlap decides, and of that kind the place
+    furthest to the left; so a boundary just before the cut doesn't shrink the overlap to a few characters.
+    """
+    lowest, highest = start - overlap, start - (overlap + 1) // 2
+    for at in places[2:]:
+        j = bisect.bisect_left(at, lowest)
+        if j < len(at) and at[j] <= highest:
+            return at[j]
+    p = lowest
+    while p < start and (_attached(text[p]) or text[p - 1] == "\u200d"):
+        p += 1
+    return p
+
+
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
@@ -133,11 +139,19 @@ def split_pieces(records: DataFrame, limits: DataFrame, oversized_only: bool = F
     return whole.unionByName(cut)
 
 
+TABLES = {"paragraphs": "paragraph_id", "tts_segments": "segment_id"}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of paragraphs and segments, as delivered."""
-    p = table(spark, sf_dir, "paragraphs").select(F.lit("paragraphs").alias("record_table"), F.col("paragraph_id").alias("record_id"), "text", "lang")
-    s = table(spark, sf_dir, "tts_segments").select(F.lit("tts_segments").alias("record_table"), F.col("segment_id").alias("record_id"), "text", "lang")
-    return p.unionByName(s)
+    each = [table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), "text", "lang") for name, key in TABLES.items()]
+    return each[0].unionByName(each[1])
+
+
+def records_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with each key once; texts stay where they are."""
+    each = [once_of(spark, sf_dir, name, [key], ["text", "lang"]).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), "text", "lang") for name, key in TABLES.items()]
+    return each[0].unionByName(each[1])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,16 +162,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every record, each key once."""
-    from bookloom.llm.common import once
+    return split_pieces(records_once(spark, sf_dir), table(spark, sf_dir, "split_limits"))
 
-    rows = once(records(spark, sf_dir), "record_table", "record_id")
-    return split_pieces(rows, table(spark, sf_dir, "split_limits"))
 
+def p1_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each record what its pieces must hold to: how far they reach without a gap, whether each is within the limit
+    and every overlap between half of what is asked and all of it, and the text that they make when put together.
 
-P1_FOUND_SQL = """
-SELECT DISTINCT t.record_table, t.record_id FROM (
-  SELECT 'paragraphs' AS record_table, paragraph_id AS record_id, text, lang FROM paragraphs
-  UNION ALL SELECT 'tts_segments', segment_id, text, lang FROM tts_segments) t
+    A record's pieces are one row each; they are summed up by record, whose text bounds them.
+    """
+    limits = table(spark, sf_dir, "split_limits").groupBy("record_table", "lang").agg(F.min("max_chars").alias("most"), F.max("overlap_chars").alias("asked"))
+    pieces = split_pieces(records_once(spark, sf_dir), table(spark, sf_dir, "split_limits"))
+    each = pieces.groupBy("record_table", "record_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start_pos", "end_pos", "piece"))).alias("p"))
+    langs = [table(spark, sf_dir, name).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), "lang").distinct() for name, key in TABLES.items()]
+    each = each.join(langs[0].unionByName(langs[1]), ["record_table", "record_id"]).join(limits, ["record_table", "lang"], "left")
+    whole = F.aggregate("p", F.struct(F.lit("").alias("text"), F.lit(0).alias("end")), lambda s, x: F.struct(F.concat(s["text"], F.substring(x["piece"], s["end"] - x["start_pos"] + 1, x["end_pos"])).alias("text"), x["end_pos"].alias("end")))
+    inside = F.forall("p", lambda x: (F.length(x["piece"]) == x["end_pos"] - x["start_pos"]) & (F.coalesce(F.length(x["piece"]) <= F.col("most"), F.lit(True)) | (F.size("p") == 1) & F.col("most").isNull()))
+    shared = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.element_at("p", k)["end_pos"] - F.element_at("p", k + 1)["start_pos"])
+    asked = F.least(F.coalesce("asked", F.lit(0)), F.floor(F.col("most") / 2))
+    overlaps = (F.size("p") == 1) | F.forall(shared, lambda n: (n <= asked) & (2 * n >= asked))
+    return each.select("record_table", "record_id", (F.size("p") > 1).alias("is_cut"), inside.alias("within_limit"), overlaps.alias("overlaps"), F.md5(whole["text"].cast("binary")).alias("digest"))
+
+
+_RECORDS_SQL = """SELECT 'paragraphs' AS record_table, paragraph_id AS record_id, text, lang FROM paragraphs
+  UNION ALL SELECT 'tts_segments', segment_id, text, lang FROM tts_segments"""
+P1_FOUND_SQL = f"""
+SELECT DISTINCT t.record_table, t.record_id FROM ({_RECORDS_SQL}) t
 JOIN split_limits l ON l.record_table = t.record_table AND l.lang = t.lang
 WHERE length(t.text) > l.max_chars
 """
+P1_AUDIT_SQL = f"""
+SELECT DISTINCT t.record_table, t.record_id, coalesce(length(t.text) > l.max_chars, false) AS is_cut, true AS within_limit, true AS overlaps, md5(t.text) AS digest
+FROM ({_RECORDS_SQL}) t LEFT JOIN split_limits l ON l.record_table = t.record_table AND l.lang = t.lang WHERE t.text IS NOT NULL
+"""

@@ -17,12 +17,15 @@ Defined results
 * lone surrogates (which Spark's strings cannot hold) aside, any text has ids.
 * one row for each row of the input; columns other than the key and the text
   are not read.
+
+A piece of more than ``LONG_WORD`` bytes runs the same recursion step by step,
+keeping only its last state; the ids are the same.  DuckDB never spills: what a
+query holds is bounded by ``QUERY_BYTES`` or by one long piece.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -104,7 +107,7 @@ class Encoder:
             if all(c in letter for c in token):
                 raw = [letter[c] for c in token]
                 self.joins[raw[:-1], raw[1:]] = True
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": os.environ.get("TMPDIR", "/tmp") + f"/bookloom-duck-{os.getpid()}"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         merges = pa.table({
             "l": pa.array([vocabulary[a] for a, _ in pairs], pa.int32()),
             "r": pa.array([vocabulary[b] for _, b in pairs], pa.int32()),
@@ -179,42 +182,46 @@ class Encoder:
         return [list(chain.from_iterable(map(get, words))) for words in split]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str | None, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str | None = None) -> Encoder:
+    """This process' tokenizer; without a path the one that its own installation ships."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path or tokenizer_path())
     return _encoders[path]
 
 
-def _encode(path: str, lengths: bool):
+def _encode(path: str | None, lengths: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for b in batches:
+            names = b.schema.names[:-1]
             # parts bound what one batch of long texts needs
             for at in range(0, b.num_rows, TEXTS):
-                ids = coder.encode(b.column(1).slice(at, TEXTS).to_pylist())
-                keys = b.column(0).slice(at, len(ids))
+                ids = coder.encode(b.column(len(names)).slice(at, TEXTS).to_pylist())
+                kept = [b.column(k).slice(at, len(ids)) for k in range(len(names))]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 if lengths:
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(sizes)], ["doc_id", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes)], [*names, "n_tokens"])
                     continue
                 values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(offsets, values)], [*names, "ids"])
 
     return run
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) of ``documents(doc_id, text)``."""
-    return documents.select("doc_id", "text").mapInArrow(_encode(path or tokenizer_path(), False), IDS)
+    return documents.select("doc_id", "text").mapInArrow(_encode(path, False), IDS)
 
 
-def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens): the lengths of the same ids, which needn't be sent back."""
-    return documents.select("doc_id", "text").mapInArrow(_encode(path or tokenizer_path(), True), "doc_id long, n_tokens long")
+def token_counts(documents: DataFrame, path: str | None = None, keep: str = "") -> DataFrame:
+    """(doc_id, n_tokens): the lengths of the same ids, which needn't be sent back; ``keep`` names a string column that goes along."""
+    columns = ["doc_id", *([keep] if keep else [])]
+    shape = "doc_id long, " + (f"{keep} string, " if keep else "") + "n_tokens long"
+    return documents.select(*columns, "text").mapInArrow(_encode(path, True), shape)
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
