@@ -4,12 +4,17 @@ A hidden Markov model labels the characters of a text.  It has one clean state,
 one state per (written in, read as) pair of encodings and one for characters
 that are lost.  The clean state emits as the language does: character counts
 over all records.  A garbled state emits what those counts become when text of
-that distribution is written in one encoding and read in the other.  A span
-labelled with a state gets the state's inverse transform, applied to as much of
-it as still has one.
+that distribution is written in one encoding and read in the other: character by
+character where the reader takes single bytes, and by counting the whole corpus
+read that way where it takes several at once.  Every language has every state
+that can write any of its letters; a state is entered the more easily the more
+of the language it can write.  A span labelled with a state gets the state's
+inverse transform, applied to as much of it as still has one; encodings that
+agree on most bytes are hard to tell apart in a short span, so states that
+explain the span nearly as well (``NEAR``) follow, likeliest first.
 
 Viterbi is exact: texts whose best path cannot leave the clean state are settled
-by the best segment of each state, which takes no dynamic programme.
+by bounds and by the best segment of each state, which take no dynamic programme.
 
 Defined results
 ---------------
@@ -22,7 +27,6 @@ Defined results
 
 from __future__ import annotations
 
-import random
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm.alphabets import LATIN_LETTERS, own
-from bookloom.llm.common import lang_code, once, table
+from bookloom.llm.common import lang_code, once, once_of, table
 
 # Fixed values: (written in, read as).
 UTF8_READ_AS = ("cp1252", "latin_1", "cp1250", "cp1251", "cp1254", "cp1258", "mac_roman", "cp437", "cp850", "koi8_r", "gb18030", "gbk", "cp932")
@@ -58,8 +62,8 @@ LEGACY = (
     ("tcvn3", "cp1252"),
     ("vni", "cp1252"),
 )
-# Encodings that only these languages' texts were written in.
-ONLY = dict.fromkeys(("gbk", "big5", "euc_jp", "cp932"), ("zh", "ja", "other")) | dict.fromkeys(("cp1258", "tcvn3", "vni"), ("vi", "other"))
+#: Readers that take several bytes for a character: what they make of a text depends on the letters side by side.
+WIDE_READERS = ("gb18030", "gbk", "cp932")
 PAIRS = [("utf_8", r) for r in UTF8_READ_AS] + [("utf_8+cp1252+utf_8", "cp1252"), ("utf_8+cp1251+utf_8", "cp1251")] + list(LEGACY)
 
 # TCVN 5712 VN3, whose capitals are a matter of the font, from byte A1 on ("." is unused).
@@ -80,17 +84,16 @@ ENTER, STAY = 0.02, 0.8
 UNSEEN = 1e-8
 #: A character foreign to the language is taken to be at most this likely in clean text.
 FOREIGN = 1e-5
+#: A state that explains a span less well than the labelled one by at most this log-likelihood is tried after it.
+NEAR = 7.0
 #: Characters that are worked on at once.
 PART = 100_000
-#: Length of the text that gives a state its emissions; drawn from the counts with a fixed seed.
-DRAWN = 30_000
-
 LOST = "�"
 
 
 def _read(data: bytes, encoding: str) -> str:
     """Decode; bytes that a single-byte code page leaves undefined become C1 controls."""
-    if encoding in ("gbk", "gb18030", "cp932"):
+    if encoding in WIDE_READERS:
         return data.decode(encoding, "replace")
     return _single(encoding).translate_bytes(data)
 
@@ -215,7 +218,7 @@ def restore(text: str, written: str, read: str) -> str:
     """The inverse of ``garble`` as far as there is one; what is lost gives U+FFFD."""
     if written in ("tcvn3", "vni"):
         return _unscheme(text, written)
-    if read in ("gbk", "gb18030", "cp932"):
+    if read in WIDE_READERS:
         data = text.replace(LOST, "").encode(read, "ignore")
     else:
         data = _single(read).to_bytes(text)
@@ -238,11 +241,12 @@ def _writable(text: str, written: str) -> str:
 class Model:
     """Log emissions of one language's states for the characters that occur in it."""
 
-    def __init__(self, counts: dict[str, int], lang: str):
+    def __init__(self, counts: dict[str, int], lang: str, wide: dict[str, dict[str, int]] | None = None):
+        """``counts`` of characters and, for each wide reader, of the characters that it makes of the same texts in UTF-8."""
         alphabet = self.own = own(lang)
         self.latin = lang in LATIN_LETTERS
-        self.letters = alphabet | {c for c, n in counts.items() if n > 1e-4 * sum(counts.values()) and unicodedata.category(c)[0] == "L"}
         total = sum(counts.values()) or 1
+        self.letters = alphabet | {c for c, n in counts.items() if n > 1e-4 * total and unicodedata.category(c)[0] == "L"}
         # how letters are spread, capitals and small ones together: what the check compares
         folded: dict[str, float] = {}
         for c, n in counts.items():
@@ -252,42 +256,37 @@ class Model:
         ordinary = lambda c: ord(c) < 128 or c in alphabet
         clean = {c: n for c, n in counts.items() if ordinary(c) or unicodedata.category(c)[0] in "LMS"}
         weights = {c: n if ordinary(c) else min(n, FOREIGN * total * 20) for c, n in clean.items() if c != LOST}
-        high = [c for c in weights if ord(c) >= 128]
-        rng = random.Random(7)
-        # half ASCII, half not: a garbled state is entered for what isn't ASCII
-        drawn = ""
-        if high:
-            drawn = "".join(rng.choices(high, [weights[c] for c in high], k=DRAWN))
-        self.states = [("", "")]
+        high = {c: n for c, n in weights.items() if ord(c) >= 128}
+        mass = sum(high.values())
         ascii_total = sum(n for c, n in weights.items() if ord(c) < 128) or 1
-        tables, same = [], []
+        self.states = [("", "")]
+        tables, same, shares = [], [], []
         for written, read in PAIRS if high else []:
-            if written in ONLY and lang not in ONLY[written]:
-                continue
-            try:
-                usable = _writable(drawn, written)
-            except LookupError:
-                continue
-            if len(usable) < 0.5 * len(drawn):
-                continue
-            seen = garble(usable, written, read)
-            if seen == usable:
+            seen = {c: garble(c, written, read) for c in high if _writable(c, written)}
+            share = sum(high[c] for c in seen) / mass
+            if not seen or all(c == g for c, g in seen.items()):
                 continue
             found: dict[str, float] = {}
-            for c in seen:
-                found[c] = found.get(c, 0) + 1
-            size = sum(found.values())
+            for c, g in seen.items():
+                for x in g:
+                    found[x] = found.get(x, 0.0) + high[c]
+            if read in WIDE_READERS and wide and wide.get(read):
+                found = {c: float(n) for c, n in wide[read].items() if ord(c) >= 128}
+            # half ASCII, half not: a garbled state is entered for what isn't ASCII
+            size = sum(found.values()) or 1
             probability = {c: 0.5 * n / size for c, n in found.items()}
             for c, n in weights.items():
                 if ord(c) < 128:
                     probability[c] = probability.get(c, 0) + 0.5 * n / ascii_total
             self.states.append((written, read))
             tables.append(probability)
+            shares.append(share)
             # what an encoding pair leaves as it is tells nothing for it
-            same.append({c for c in set(usable) if garble(c, written, read) == c})
+            same.append({c for c, g in seen.items() if g == c})
         self.states.append(("lost", "lost"))
         tables.append({LOST: 0.9})
         same.append(set())
+        shares.append(1.0)
         points = sorted({*map(ord, counts), *(ord(c) for t in tables for c in t)})
         self.points = np.array(points, np.uint32)
         ratio = np.zeros((len(points) + 1, len(self.states)), np.float32)
@@ -307,8 +306,10 @@ class Model:
         ratio[-1, 1:] = -12
         self.ratio = ratio
         self.best = ratio.max(axis=1)
-        k = max(1, len(self.states) - 1)
-        self.enter, self.stay, self.leave = np.log(ENTER / k), np.log(STAY), np.log(1 - STAY)
+        self.gains = np.maximum(ratio[:, 1:], 0)
+        self.enter = np.log(ENTER * np.array(shares) / sum(shares))
+        self.stay, self.leave = np.log(STAY), np.log(1 - STAY)
+        self.least = -(self.enter - self.stay)
 
     def stands(self, piece: str, better: str, written: str) -> bool:
         """True if a span's inverse transform gives what the language could have written.
@@ -328,6 +329,9 @@ class Model:
             return False
         if any(ord(c) >= 128 and not self.weak(c) for c in piece):
             return gain > 0
+        # a code page has letters for letters; the Vietnamese ones join signs
+        if written not in ("tcvn3", "vni", "cp1258") and sum(map(str.isalpha, better)) < sum(map(str.isalpha, piece)):
+            return False
         return gain > 6 and sum(map(str.isalpha, piece)) >= 4
 
     def weak(self, c: str) -> bool:
@@ -348,31 +352,45 @@ class Model:
         """(text, start, end): the texts whose best path leaves the clean state, and where it can.
 
         States meet only through the clean one, so a path leaves it if and only
-        if some segment of one state gains more than entering costs.  A bound
-        with the largest ratio of any state goes first.
+        if some segment of one state gains more than entering costs.  Two bounds
+        go first: the best segment under the largest ratio of any state, and the
+        sum of what a text's characters gain in each state.
         """
         ends = np.append(starts[1:], len(index))
         hot = self.best[index] > 0
-        maybe = np.flatnonzero(_best_segment(self.best[index][:, None], starts, self.stay, self.leave)[:, 0] > -(self.enter - self.stay))
+        maybe = np.flatnonzero(_best_segment(self.best[index][:, None], starts, self.stay, self.leave)[:, 0] > self.least.min())
         # before the first and after the last character that any state favours, a path is clean
         spans = []
         for i in maybe:
             at = np.flatnonzero(hot[starts[i] : ends[i]])
-            spans.append((starts[i] + at[0], starts[i] + at[-1] + 1))
-        out: list[tuple[int, int, int]] = []
+            spans.append((int(starts[i] + at[0]), int(starts[i] + at[-1] + 1)))
+        yes = np.zeros(len(maybe), bool)
         at = 0
         while at < len(maybe):
             size, stop = 0, at
             while stop < len(maybe) and (size == 0 or size + spans[stop][1] - spans[stop][0] <= PART):
                 size += spans[stop][1] - spans[stop][0]
                 stop += 1
-            rows = np.concatenate([index[a:b] for a, b in spans[at:stop]])
-            first = np.cumsum([0] + [b - a for a, b in spans[at : stop - 1]])
-            last = np.array([b == ends[i] for i, (_, b) in zip(maybe[at:stop], spans[at:stop])])
-            yes = (_best_segment(self.ratio[rows, 1:], first, self.stay, self.leave, last) > -(self.enter - self.stay)).any(axis=1)
-            out += [(int(maybe[k]), *spans[k]) for k in np.flatnonzero(yes) + at]
+            given = [index[a:b][hot[a:b]] for a, b in spans[at:stop]]
+            first = np.cumsum([0] + [len(g) for g in given[:-1]])
+            bound = np.add.reduceat(self.gains[np.concatenate(given)], first, axis=0) > self.least
+            for k in np.flatnonzero(bound.any(axis=0)):
+                some = np.flatnonzero(bound[:, k] & ~yes[at:stop]) + at
+                if not len(some):
+                    continue
+                rows = np.concatenate([index[spans[i][0] : spans[i][1]] for i in some])
+                begin = np.cumsum([0] + [spans[i][1] - spans[i][0] for i in some[:-1]])
+                last = np.array([spans[i][1] == ends[maybe[i]] for i in some])
+                best = _best_segment(self.ratio[rows, k + 1][:, None], begin, self.stay, self.leave, last)[:, 0]
+                yes[some[best > self.least[k]]] = True
             at = stop
-        return out
+        return [(int(maybe[i]), *spans[i]) for i in np.flatnonzero(yes)]
+
+    def likely(self, piece: str, label_: int) -> list[tuple[str, str]]:
+        """The labelled state and those that explain a span nearly as well, likeliest first."""
+        gain = self.ratio[self.index(codes(piece)), 1:].sum(axis=0) + self.enter
+        order = sorted(range(len(gain)), key=lambda k: (k != label_ - 1, -gain[k], k))
+        return [self.states[k + 1] for k in order if gain[k] >= gain[label_ - 1] - NEAR]
 
     def paths(self, rows: list[np.ndarray], last: list[bool] | None = None) -> list[np.ndarray]:
         """The state of each character of each row of indices; rows are run side by side.
@@ -463,7 +481,7 @@ def repaired(text: str, path: np.ndarray, model: Model) -> str | None:
         piece = text[i:j]
         stands |= bool(k) and LOST in piece
         if k:
-            for state in [model.states[k], *(x for x in model.states if x[0].startswith("utf_8") and x != model.states[k])]:
+            for state in model.likely(piece, k):
                 better = piece if state[0] == "lost" else restore(piece, *state)
                 if better != piece and model.stands(piece, better, state[0]):
                     piece, stands = better, True
@@ -474,20 +492,24 @@ def repaired(text: str, path: np.ndarray, model: Model) -> str | None:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[str, np.ndarray] = {}
+    """Characters by language, as they are (reader '') and as the wide readers would have the same texts in UTF-8."""
+    counts: dict[tuple[str, str], np.ndarray] = {}
     for b in batches:
         for lang, part in b.groupby("lang"):
-            c = np.bincount(codes("".join(part.text)), minlength=1)
-            old = counts.get(lang)
-            if old is None:
-                counts[lang] = c.astype(np.int64)
-            else:
-                if len(c) > len(old):
-                    old = np.concatenate([old, np.zeros(len(c) - len(old), np.int64)])
-                old[: len(c)] += c
-                counts[lang] = old
-    rows = [(lang, int(p), int(c[p])) for lang, c in counts.items() for p in np.flatnonzero(c)]
-    yield pd.DataFrame(rows, columns=["lang", "point", "n"])
+            text = "\n".join(part.text)
+            data = text.encode("utf-8", "replace")
+            for reader in ("", *WIDE_READERS):
+                if reader and text.isascii():
+                    continue
+                c = np.bincount(codes(data.decode(reader, "replace") if reader else text), minlength=1)
+                old = counts.get((lang, reader))
+                if old is not None and len(old) > len(c):
+                    c, old = old, c
+                if old is not None:
+                    c[: len(old)] += old
+                counts[lang, reader] = c
+    rows = [(lang, reader, int(p), int(c[p])) for (lang, reader), c in counts.items() for p in np.flatnonzero(c)]
+    yield pd.DataFrame(rows, columns=["lang", "reader", "point", "n"])
 
 
 def _texts(df: DataFrame) -> DataFrame:
@@ -495,22 +517,24 @@ def _texts(df: DataFrame) -> DataFrame:
 
 
 def models(records: DataFrame) -> dict[str, Model]:
-    """A model per language from the characters of all records, each key once.
+    """A model per language from the characters of all records, each of which counts once.
 
-    The collected counts have at most one row per language and code point, so
+    The collected counts have at most one row per language, reader and code point, so
     their size doesn't grow with the records.
     """
-    base = _texts(once(records, "record_id"))
-    rows = base.mapInPandas(_count, "lang string, point int, n long").groupBy("lang", "point").agg(F.sum("n").alias("n")).collect()
-    counts: dict[str, dict[str, int]] = {}
-    for r in rows:
-        counts.setdefault(r.lang, {})[chr(r.point)] = r.n
-    return {lang: Model(c, lang) for lang, c in counts.items()}
+    rows = _texts(records).mapInPandas(_count, "lang string, reader string, point int, n long")
+    counts: dict[str, dict[str, dict[str, int]]] = {}
+    for r in rows.groupBy("lang", "reader", "point").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r.lang, {}).setdefault(r.reader, {})[chr(r.point)] = r.n
+    return {lang: Model(c.get("", {}), lang, c) for lang, c in counts.items()}
 
 
-def garbled(records: DataFrame, repair: bool = False) -> DataFrame:
-    """Records ``(record_id, text, lang)`` with a garbled span; with ``repair`` their restored text."""
-    shared = records.sparkSession.sparkContext.broadcast(models(records))
+def garbled(records: DataFrame, counted: DataFrame, repair: bool = False) -> DataFrame:
+    """Records ``(record_id, text, lang)`` with a garbled span; with ``repair`` their restored text.
+
+    ``counted`` are the same records, each once: they give the characters' counts.
+    """
+    shared = records.sparkSession.sparkContext.broadcast(models(counted))
 
     def find(batches):
         for b in batches:
@@ -534,14 +558,19 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "paragraphs").select(F.col("paragraph_id").alias("record_id"), "text", "lang")
 
 
+def paragraphs_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = once_of(spark, sf_dir, "paragraphs", ["paragraph_id"], ["text", "lang"])
+    return p.select(F.col("paragraph_id").alias("record_id"), "text", "lang")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return garbled(paragraphs(spark, sf_dir)).select(F.col("record_id").alias("paragraph_id")).distinct()
+    return garbled(paragraphs(spark, sf_dir), paragraphs_once(spark, sf_dir)).select(F.col("record_id").alias("paragraph_id")).distinct()
 
 
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every paragraph with its text, restored where it was garbled; keys once."""
-    rows = once(paragraphs(spark, sf_dir), "record_id")
-    fixed = once(garbled(paragraphs(spark, sf_dir), repair=True), "record_id")
+    rows = paragraphs_once(spark, sf_dir)
+    fixed = once(garbled(paragraphs(spark, sf_dir), rows, repair=True), "record_id")
     return rows.join(fixed, "record_id", "left").select(
         F.col("record_id").alias("paragraph_id"), F.coalesce("restored", "text").alias("text"), F.col("restored").isNotNull().alias("was_garbled")
     )

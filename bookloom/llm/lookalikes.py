@@ -270,7 +270,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return odd_records(records(spark, sf_dir), encodings.paragraphs(spark, sf_dir)).distinct()
+    return odd_records(records(spark, sf_dir), encodings.paragraphs_once(spark, sf_dir)).distinct()
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
