@@ -1,11 +1,15 @@
 """Problem 3: text that looks right but is stored in other characters.
 
-``form`` gives a text's one consistent form in its language: composed, without
-characters that aren't seen, with plain spaces, and with every look-alike
-replaced by its prototype where the prototype is what the language writes.
 ``skeleton`` is independent of the language: decompose, replace each character
 by its prototype, decompose again; texts that look equal have equal skeletons.
-A record is a case if its form differs from it.
+Originals with one skeleton are a group of look-alikes; the ordinary one among
+them depends on the language, and ``form`` gives it: composed, without characters
+that aren't seen, with plain spaces, and with every look-alike replaced by its
+prototype where the prototype is what the language writes.
+
+A record is looked at if its skeleton shows that it could be written in other
+characters (``varied``); it is a case if the ordinary member of its group, its
+form, differs from it.  ``p3_groups`` groups the originals as they are stored.
 
 Defined results
 ---------------
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from bookloom.llm import encodings
 from bookloom.llm.alphabets import FULLWIDTH_PUNCTUATION, JOINERS, LATIN_LETTERS, own
-from bookloom.llm.common import lang_code, once, table
+from bookloom.llm.common import lang_code, once_of, table
 
 # Look-alikes of Latin letters, by script.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅҮԌԚԜ", "aeopcyxijshdqwlABEKMHOPCTYXIJSYGQW", strict=True))
@@ -44,6 +48,7 @@ ARMENIAN = dict(zip("օսհոցՏԼ", "ouhngSL", strict=True))
 LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ǀ": "l", "ꞌ": "'", "ʼ": "'", "‐": "-", "‑": "-"}
 # Latin letters that look like Russian ones.
 TO_RUSSIAN = dict(zip("aeopcyxABEKMHOPCTYX", "аеорсухАВЕКМНОРСТУХ", strict=True)) | {"ë": "ё", "Ë": "Ё"}
+PROTOTYPES_OF_RUSSIAN = re.compile(f"[{''.join(TO_RUSSIAN)}]")
 # Greek letters that look like them are Russian ones too.
 GREEK_TO_RUSSIAN = {c: TO_RUSSIAN[p] for c, p in GREEK.items() if p in TO_RUSSIAN}
 # Arabic letters and digits where Persian has its own.
@@ -57,6 +62,7 @@ SEQUENCES = {
 KANA_IN_KANJI = dict(zip("力口二工卜夕八一", "カロニエトタハー", strict=True))
 HIRAGANA_IN_KATAKANA = dict(zip("へべぺり", "ヘベペリ", strict=True))
 # へ and り can stand between words: only a kana that begins no word tells that the word goes on.
+KANA_LIKE = re.compile(r"(?<=[゠-ヿ])[力口二工卜夕八へべぺり]")
 HIRAGANA_INSIDE = re.compile(r"(?<=[ァ-ヺー])(?:[べぺ](?=[ァ-ヺー])|[へり](?=[ンッァィゥェォャュョー]))")
 
 # The skeleton's prototypes of letters, without those that only a Latin language's words can tell.
@@ -227,11 +233,37 @@ def skeleton(text: str) -> str:
     return second
 
 
+class _Prototypes(dict):
+    """Code point -> prototype, worked out when it is first met."""
+
+    def __missing__(self, point: int) -> str:
+        out = self[point] = _prototype(chr(point))
+        return out
+
+
+_prototypes_by_point = _Prototypes()
+
+
+def varied(text: str, lang: str) -> bool:
+    """True if the text has a look-alike: a character with another prototype, a sequence drawn as one letter, or parts
+    that compose; in a language that isn't written in the prototypes' letters, a prototype itself.  A text without any
+    is the only original of its skeleton that the language could write."""
+    if lang == "ru" and PROTOTYPES_OF_RUSSIAN.search(text):
+        return True
+    if not unicodedata.is_normalized("NFC", text) or text.translate(_prototypes_by_point) != text:
+        return True
+    return any(a in text for pairs in SEQUENCES.values() for a in pairs) or bool(KANA_LIKE.search(text))
+
+
 def _forms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    digest = lambda t: hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()
     for b in batches:
-        out = [form(t, lang) for t, lang in zip(b.text, b.lang)]
-        keys = [hashlib.md5(skeleton(t).encode("utf-8", "surrogatepass")).hexdigest() for t in b.text]
-        yield pd.DataFrame({"record_table": b.record_table, "record_id": b.record_id, "form": out, "skeleton_key": keys, "odd": [x != t for x, t in zip(out, b.text)]})
+        out = [form(t, lang) if varied(t, lang) else t for t, lang in zip(b.text, b.lang)]
+        keys = [digest(skeleton(t)) for t in b.text]
+        yield pd.DataFrame({
+            "record_table": b.record_table, "record_id": b.record_id, "form": out, "skeleton_key": keys,
+            "original_key": [digest(t) for t in b.text], "odd": [x != t for x, t in zip(out, b.text)],
+        })
 
 
 def odd_records(records: DataFrame, models: DataFrame | None = None) -> DataFrame:
@@ -246,7 +278,7 @@ def odd_records(records: DataFrame, models: DataFrame | None = None) -> DataFram
     def find(batches):
         for b in batches:
             keep = []
-            hits = [i for i, (t, lang) in enumerate(zip(b.text, b.lang)) if form(t, lang) != t]
+            hits = [i for i, (t, lang) in enumerate(zip(b.text, b.lang)) if varied(t, lang) and form(t, lang) != t]
             part = b.iloc[hits]
             for (name, lang), rows in part.groupby(["record_table", "lang"]):
                 model = shared.value.get(lang) if name == "paragraphs" else None
@@ -273,22 +305,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_records(records(spark, sf_dir), encodings.paragraphs_once(spark, sf_dir)).distinct()
 
 
+def records_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = once_of(spark, sf_dir, "paragraphs", ["paragraph_id"], ["text", "lang"])
+    c = once_of(spark, sf_dir, "chapters", ["chapter_id"], ["chapter_title", "lang"])
+    p = p.select(F.lit("paragraphs").alias("record_table"), F.col("paragraph_id").alias("record_id"), "text", "lang")
+    return p.unionByName(c.select(F.lit("chapters").alias("record_table"), F.col("chapter_id").alias("record_id"), F.col("chapter_title").alias("text"), "lang"))
+
+
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record's consistent form and the key of its skeleton."""
-    rows = once(records(spark, sf_dir), "record_table", "record_id").where(F.col("text").isNotNull())
+    """Every record's consistent form, the key of its skeleton and that of the text as stored."""
+    rows = records_once(spark, sf_dir).where(F.col("text").isNotNull())
     return rows.withColumn("lang", lang_code(F.col("lang"))).mapInPandas(
-        _forms_of, "record_table string, record_id long, form string, skeleton_key string, odd boolean"
+        _forms_of, "record_table string, record_id long, form string, skeleton_key string, original_key string, odd boolean"
     )
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that look equal: records, stored variants and odd records of each skeleton.
+    """Texts that look equal: of each skeleton its records, its different originals as stored, its different forms and
+    the records that aren't in their form.
 
-    Counts go through (skeleton, form) first, so a text that a third of all
+    Counts go through (skeleton, original) first, so a text that a third of all
     records share is summed up before the shuffle.
     """
-    forms = p3_forms(spark, sf_dir).select("skeleton_key", F.md5(F.col("form").cast("binary")).alias("form_key"), "odd")
-    each = forms.groupBy("skeleton_key", "form_key").agg(F.count("*").alias("n"), F.sum(F.col("odd").cast("long")).alias("n_odd"))
+    forms = p3_forms(spark, sf_dir).select("skeleton_key", "original_key", F.md5(F.col("form").cast("binary")).alias("form_key"), "odd")
+    each = forms.groupBy("skeleton_key", "original_key", "form_key").agg(F.count("*").alias("n"), F.sum(F.col("odd").cast("long")).alias("n_odd"))
     return each.groupBy("skeleton_key").agg(
-        F.sum("n").alias("n_records"), F.count("*").alias("n_forms"), F.sum("n_odd").alias("n_odd")
+        F.sum("n").alias("n_records"), F.countDistinct("original_key").alias("n_originals"), F.countDistinct("form_key").alias("n_forms"), F.sum("n_odd").alias("n_odd")
     )
