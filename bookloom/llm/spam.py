@@ -4,9 +4,16 @@ A document is a sequence of lines; long lines are cut into pieces at sentence
 ends and separators.  A hidden Markov model labels each line as prose, link
 list, tag list, menu (keyword and product lines), refrain (words and sentences that
 only repeat a keyword) or apparatus (lists that belong to books).  Emissions are products of
-tables over eight binned features.  The tables start from a stated prior and are
-re-estimated by one round of Viterbi training over all documents; what training
-gathers is a count for each (state, feature, bin), whatever the corpus' size.
+tables over binned features.
+
+No list of spam words is given; the words of keyword lines are learned.  A first
+decoding looks at the lines' form alone.  The documents in which a word stands in
+lines labelled as spam and in others are counted over the whole corpus, words of
+any language and script hashed into ``BUCKETS`` counters (a table of one size,
+whatever the vocabulary).  Words that a log-likelihood ratio ties to spam lines
+become a feature, "learned"; then one round of Viterbi training over all documents
+re-estimates the tables, which start from a stated prior.  What training gathers is
+a count for each (state, feature, bin).
 
 A document is a case if more than half of its words stand in link, tag, menu or
 refrain lines.  Equal texts have equal labels.
@@ -23,9 +30,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,34 +44,32 @@ from bookloom.llm.common import materialise, table
 STATES = ("prose", "link", "tag", "menu", "refrain", "apparatus")
 SPAM = np.array([False, True, True, True, True, False])
 #: Features and their numbers of bins.
-FEATURES = (("url", 4), ("hash", 3), ("separators", 3), ("sentence", 2), ("repeated", 4), ("trade", 3), ("list", 7), ("product", 2))
+FEATURES = (("url", 4), ("hash", 3), ("separators", 3), ("sentence", 2), ("repeated", 4), ("list", 7), ("product", 2), ("learned", 4))
 #: Staying in a state from one line to the next.
 STAY = 0.85
 #: Weight of the prior tables against the counts of training, in lines.
 PRIOR_LINES = 500.0
 #: A line longer than this is cut into pieces of at least PIECE characters.
 LONG, PIECE = 220, 130
+#: Counters of hashed words.
+BUCKETS = 1 << 18
+#: A word is a spam word if this many documents have it in spam lines, this log-likelihood ratio ties it to them, and
+#: its share of spam lines' documents is so many times that of other lines'.
+LEAST_DOCUMENTS, LEAST_LLR, LEAST_RATIO = 3, 10.83, 4.0
+#: Shares of learned words in a line from which the bins of that feature begin.
+LEARNED = (0.08, 0.25, 0.5)
 #: A document counts from this share of words in link, tag and menu lines.
 SHARE = 0.5
 
 URL = re.compile(
-    r"(?:https?|hxxps?|ftp)://\S+|\bwww[.\[(]\S+|\b[\w-]+(?:(?:\.|\[\.\]|\(\.\))[\w-]+)*(?:\.|\[\.\]|\(\.\))(?:com|net|org|info|biz|io|shop|example|test|invalid|vn|fr|de|es|ru|cn|jp)\b(?:/\S*)?"
-    r"|\b[\w-]+(?: dot [\w-]+)* dot (?:com|net|org|example|test|invalid)\b(?:/\S*)?|</?(?:a|li|ul|ol|nav|div|span|p)\b[^>]*>",
+    r"(?:https?|hxxps?|ftp)://\S+|\bwww[.\[(]\S+|\b(?=[0-9-]*[a-z])[a-z0-9-]{2,}(?:(?:\.|\[\.\]|\(\.\))[a-z0-9-]+)*(?:\.|\[\.\]|\(\.\))(?-i:[a-z]{2,12})\b(?:/\S*)?"
+    r"|\b[a-z0-9-]{2,}(?: dot [a-z0-9-]+)* dot (?-i:[a-z]{2,7})\b(?:/\S*)?|</?(?:a|li|ul|ol|nav|div|span|p)\b[^>]*>",
     re.I,
 )
 HASH = re.compile(r"(?<!\S)#\w[\w'’-]*")
 SEPARATOR = re.compile(r"[•|→›»·;\t/,、，]| [-–—] ")
 SENTENCE_END = re.compile(r"[.!?。！？।…؟۔][\"'”’»」』)]*(?=\s|$)|[。！？।]")
 CUT = re.compile(r"[.!?…]+[\"'”’»)]*\s+|[。！？।؟۔]+[”’」』]*|[•|→;\t,、，]\s*| [-–—/] |\s+")
-# Words of trade in the languages of the corpus.
-TRADE = re.compile(
-    r"(?<![^\W_])(?:buy|cheap|discount|coupon|deals|free[ _]?shipping|best[ _]?price|top[ _]?rated|near[ _]?me|online|for[ _]?sale|no[ _]?sign[ _]?up|official[ _]?store|audiobook|download"
-    r"|mua|giá[ _]?rẻ|giảm[ _]?giá|khuyến[ _]?mãi|đặt[ _]?hàng|bảng[ _]?giá|tốt[ _]?nhất|chính[ _]?hãng|giao[ _]?nhanh|uy[ _]?tín|sỉ[ _]?lẻ|tải[ _]?miễn[ _]?phí|không[ _]?quảng[ _]?cáo|sách[ _]?nói"
-    r"|acheter|promo|soldes|pas[ _]?cher|avis|livraison|téléchargement|meilleur[ _]?prix|en[ _]?ligne|livre[ _]?audio|kaufen|angebot|günstig|bester[ _]?preis|gutschein|versandkostenfrei|hörbuch|rabatt"
-    r"|comprar|rebajas|oferta|barato|descargar|envío[ _]?gratis|mejor[ _]?precio|opiniones|en[ _]?línea|audiolibro|купить|скачать|дёшево|дешево|лучшая[ _]?цена|доставка|аудиокнига|скидка|отзывы|распродажа)(?![^\W_])"
-    r"|便宜|包邮|折扣|批发|正品|热卖|最低价|有声书|在线|购买|下载|送料無料|激安|通販|最安値|割引",
-    re.I,
-)
 PRODUCT = re.compile(r"\bSKU\b|★{2,}|[-–]\d{1,2} ?%|[$€£₫]\s?\d|\d\s?(?:[$€£₫]|USD|EUR|VND)\b|in stock|add to cart", re.I)
 # Lists that belong to books.
 LISTS = (
@@ -71,17 +79,13 @@ LISTS = (
     re.compile(r"\d+(?:[.,/]\d+)?\s?(?:g|kg|mg|ml|cl|dl|l|tbsp|tsp|cups?|oz|lb|thìa|muỗng|克|グラム|г|мл)\b\.?\s+\S[^.!?]{1,60}\Z", re.I),
     re.compile(r"[^\s:：][^:：.!?#/]{0,40}[:：]\s+(?!\S*(?:https?:|hxxps?:|www|\w\.\w))\S.{8,}", re.S),
 )
-#: What a link and a price must hold, digits inside words, and words of trade's first words: quick tests before the patterns above.
-DOTTED = re.compile(r"\.[A-Za-z\])[(]")
-PRICED = re.compile(r"[%$€£₫★]|SKU|USD|EUR|VND|stock|cart")
+#: What a link and a price must hold, and digits inside words: tests that the patterns above imply.
+DOTTED = re.compile(r"\.[A-Za-z\])[(]|www[\[(]", re.I)
+PRICED = re.compile(r"[%$€£₫★]")
+PRICED_WORDS = ("sku", "usd", "eur", "vnd", "stock", "cart")
 LEETED = re.compile(r"[03@1$5][^\W\d_]")
 EDGES = ".,;:!?…\"'“”‘’«»()[]{}<>#*-–—/|•。！？，、；：「」『』।؟،؛"
-TRADE_FIRST = set(
-    "buy cheap discount coupon deals free freeshipping best bestprice top toprated near nearme online for forsale no nosignup official officialstore audiobook audiobookdownload download "
-    "mua giá giárẻ giảm giảmgiá khuyến khuyếnmãi đặt đặthàng bảng bảnggiá tốt tốtnhất chính chínhhãng giao giaonhanh uy uytín sỉ sỉlẻ tải tảimiễnphí không khôngquảngcáo sách sáchnói "
-    "acheter promo soldes pas pascher avis livraison livraisongratuite téléchargement meilleur meilleurprix en enligne livre livreaudio kaufen angebot günstig bester besterpreis gutschein versandkostenfrei hörbuch rabatt "
-    "comprar rebajas oferta barato descargar envío envíogratis mejor mejorprecio opiniones enlínea audiolibro купить скачать дёшево дешево лучшая лучшаяцена доставка аудиокнига скидка отзывы распродажа".split()
-)
+TOKEN = re.compile(rf"[^\s{re.escape(EDGES)}](?:\S*[^\s{re.escape(EDGES)}])?")
 LEET = str.maketrans("03@1$5", "oeaiss")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
@@ -139,12 +143,33 @@ def _repeated(line: str, words: list[str]) -> float:
     return sum(hit) / len(hit)
 
 
-def features(line: str) -> tuple[int, int]:
-    """A line's bins as one number, and its words."""
-    cjk = bool(CJK.search(line))
+def _listed(found: list[list[int]]) -> pa.ListArray:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    values = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+class _Buckets(dict):
+    """Word -> counter, kept for the words met so far up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        out = self[word] = crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        return out
+
+
+_buckets = _Buckets()
+
+
+def features(line: str) -> tuple[int, int, list[int]]:
+    """A line's bins as one number (that of the learned words still 0), its words, and their counters."""
+    # scripts without spaces begin with Thai
+    wide = max(line, default="") >= "฀"
+    cjk = wide and bool(CJK.search(line))
     words = len(WORDS.findall(line)) if cjk else len(line.split())
     n = max(1, len(line))
-    linking = "." in line and DOTTED.search(line) or "://" in line or "<" in line or " dot " in line or ")" in line and "(.)" in line
+    linking = "." in line and DOTTED.search(line) or "://" in line or "<" in line or " dot " in line or "(" in line and "www(" in line.lower() or "[" in line and "www[" in line.lower()
     found = URL.findall(line) if linking else []
     linked = sum(map(len, found)) / n
     rest = URL.sub(" ", line) if found else line
@@ -153,15 +178,14 @@ def features(line: str) -> tuple[int, int]:
     hashed = 0 if not tags else 1 if tags * 3 < words else 2
     separated = len(SEPARATOR.findall(rest)) / max(1, words)
     sep = 0 if separated < 0.12 else 1 if separated < 0.24 else 2
-    low = rest.lower()
+    small = low = rest.lower()
     if LEETED.search(low):
         low = low.translate(LEET)
-    low = [t for t in (t.strip(EDGES) for t in low.replace("_", " ").split()) if t]
-    unspaced = len(UNSPACED.findall(rest)) * 4 > len(rest)
-    trades = len(TRADE.findall(rest)) if cjk or not TRADE_FIRST.isdisjoint(low) else 0
-    trade = 0 if not trades else 1 if trades * 12 < words else 2
-    product = int(bool(PRICED.search(rest)) and bool(PRODUCT.search(rest)))
+    low = TOKEN.findall(low.replace("_", " "))
+    unspaced = wide and len(UNSPACED.findall(rest)) * 4 > len(rest)
+    product = int((bool(PRICED.search(rest)) or any(w in small for w in PRICED_WORDS)) and bool(PRODUCT.search(rest)))
     tokens = rest.split()
+    longest = max(map(len, tokens), default=0)
     # a script that ends sentences with spaces writes prose in long runs
     running = unspaced and len(rest) > 9 * max(1, len(tokens))
     ended = int(running or bool(SENTENCE_END.search(rest)))
@@ -175,25 +199,28 @@ def features(line: str) -> tuple[int, int]:
                 once.add(part.strip())
         if len(kept) <= len(SENTENCE_END.findall(rest)):
             again = " ".join(kept)
-            r = _repeated(again, [t for t in (t.strip(EDGES) for t in again.lower().translate(LEET).replace("_", " ").split()) if t])
-    longest = max(map(len, tokens), default=0)
+            r = _repeated(again, TOKEN.findall(again.lower().translate(LEET).replace("_", " ")))
     if not unspaced and longest >= 40 and longest * 3 > len(rest):
         r = 0.0
     repeated = 0 if r < 0.12 else 1 if r < 0.3 else 2 if r < 0.5 else 3
     listed = 0
     if not product and not tags:
+        may = ("...." in line or "…" in line, "," in line, "(" in line, line[:1].isdigit(), not found and (":" in line or "：" in line))
         for k, p in enumerate(LISTS, 1):
-            if (p.search(line) if k == 1 else p.match(line)) and (k != 5 or not found and trade < 2):
+            if may[k - 1] and (p.search(line) if k == 1 else p.match(line)):
                 listed = k
                 break
-        if not listed and url < 2 and not trade and repeated < 2 and not (ended and len(tokens) > 12 and longest < 40):
+        if not listed and url < 2 and repeated < 2 and not (ended and len(tokens) > 12 and longest < 40):
             plain = sum(bool(WORD.match(t)) for t in tokens)
             debris = len(rest) < 15 or not unspaced and (longest >= 40 and longest * 3 > len(rest) or plain < 0.6 * len(tokens))
             listed = 6 if debris and not (ended and plain >= 3) else 0
     code = 0
-    for value, (_, size) in zip((url, hashed, sep, ended, repeated, trade, listed, product), FEATURES):
+    for value, (_, size) in zip((url, hashed, sep, ended, repeated, listed, product, 0), FEATURES):
         code = code * size + value
-    return code, words
+    if unspaced:
+        # words of scripts without spaces: triples of characters
+        low = [g for t in low for g in ((t[i : i + 3] for i in range(len(t) - 2)) if len(t) > 3 else (t,))]
+    return code, words, [_buckets[w] for w in low if w[0].isalpha()]
 
 
 def _prior() -> list[np.ndarray]:
@@ -205,9 +232,9 @@ def _prior() -> list[np.ndarray]:
         "separators": ([70, 25, 5], [50, 25, 25], [75, 15, 10], [30, 25, 45], [60, 25, 15], [40, 30, 30]),
         "sentence": ([12, 88], [85, 15], [92, 8], [70, 30], [40, 60], [60, 40]),
         "repeated": ([88, 9, 2.7, 0.3], [60, 20, 15, 5], [35, 30, 25, 10], [20, 20, 30, 30], [0.5, 3, 16.5, 80], [90, 7, 2.5, 0.5]),
-        "trade": ([93, 6.5, 0.5], [55, 15, 30], [25, 25, 50], [15, 15, 70], [60, 20, 20], [93, 6, 1]),
         "list": ([80, 0.5, 2, 0.5, 0.5, 6, 10.5], [93, 0.5, 1, 0.3, 0.2, 3, 2], [96, 0.2, 0.5, 0.1, 0.2, 1, 2], [93, 0.3, 2, 0.2, 0.5, 2, 2], [96, 0.2, 1, 0.2, 0.2, 0.4, 2], [4, 18, 20, 14, 14, 16, 14]),
         "product": ([96, 4], [94, 6], [94, 6], [55, 45], [98, 2], [97, 3]),
+        "learned": ([90, 8.5, 1.3, 0.2], [30, 15, 25, 30], [15, 15, 25, 45], [8, 12, 30, 50], [15, 20, 30, 35], [80, 14, 5, 1]),
     }
     return [np.array(rows[name], float) / 100 for name, _ in FEATURES]
 
@@ -215,8 +242,11 @@ def _prior() -> list[np.ndarray]:
 class Tables:
     """Emissions of the states, from the prior and the counts of training."""
 
-    def __init__(self, counts: list[np.ndarray] | None = None):
+    def __init__(self, counts: list[np.ndarray] | None = None, form_only: bool = False):
+        """``form_only`` leaves the learned words out."""
         prior = _prior()
+        if form_only:
+            prior[-1] = np.ones_like(prior[-1])
         self.logs = []
         for k, p in enumerate(prior):
             p = p / p.sum(axis=1, keepdims=True)
@@ -266,56 +296,121 @@ class Tables:
         return [np.zeros(0, np.int8) if p is None else p for p in out]
 
 
-def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        known: dict[str, tuple[int, int]] = {}
-        codes, words = [], []
-        for text in b.text:
-            found = [known.get(x) or known.setdefault(x, features(x)) for x in lines(text)]
-            codes.append([c for c, _ in found])
-            words.append([w for _, w in found])
-        yield pd.DataFrame({"doc_id": b.doc_id, "codes": codes, "words": words})
+        # parts bound what one batch of long texts needs
+        for at in range(0, b.num_rows, TEXTS):
+            known: dict[str, tuple[int, int, list[int]]] = {}
+            texts = b.column(1).slice(at, TEXTS).to_pylist()
+            found = [[known.get(x) or known.setdefault(x, features(x)) for x in lines(text)] for text in texts]
+            columns = [[[x[k] for x in f] for f in found] for k in (0, 1)]
+            columns += [[[len(x[2]) for x in f] for f in found], [[k for x in f for k in x[2]] for f in found]]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *map(_listed, columns)], ["doc_id", "codes", "words", "sizes", "keys"])
+
+
+#: Texts that are worked on at once.
+TEXTS = 2000
+SEEN = "doc_id long, codes array<int>, words array<int>, sizes array<int>, keys array<int>"
 
 
 def observations(documents: DataFrame) -> DataFrame:
-    """(doc_id, codes, words): a number and the words of each line; written once, as it is read twice."""
+    """(doc_id, codes, words, sizes, keys): a number and the words of each line, and the counters of all its words; written once."""
     texts = documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text")
-    return materialise(texts.mapInPandas(_observe, "doc_id long, codes array<int>, words array<int>"))
+    return materialise(texts.mapInArrow(_observe, SEEN))
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    model = Tables()
-    totals = [np.zeros((len(STATES), size)) for _, size in FEATURES]
+def _uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents of each counter in spam lines and in others, by the lines' form alone; two tables of one size."""
+    model = Tables(form_only=True)
+    inside, outside, docs = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(2, np.int64)
     for b in batches:
-        docs = [np.asarray(c, np.int64) for c in b.codes]
-        paths = model.paths(docs)
-        if not docs:
-            continue
-        rest, states = np.concatenate(docs), np.concatenate(paths).astype(int)
-        for k in range(len(FEATURES) - 1, -1, -1):
-            size = FEATURES[k][1]
-            np.add.at(totals[k], (states, rest % size), 1)
-            rest = rest // size
-    rows = [(s, k, v, float(t[s, v])) for k, t in enumerate(totals) for s in range(len(STATES)) for v in range(t.shape[1]) if t[s, v]]
-    yield pd.DataFrame(rows, columns=["state", "feature", "bin", "n"])
+        for path, sizes, keys in zip(model.paths([np.asarray(c, np.int64) for c in b.codes]), b.sizes, b["keys"]):
+            spam = np.repeat(SPAM[path.astype(int)], np.asarray(sizes, int))
+            keys = np.asarray(keys, int)
+            inside[np.unique(keys[spam])] += 1
+            outside[np.unique(keys[~spam])] += 1
+            docs += (spam.any(), (~spam).any())
+    at = np.flatnonzero(inside)
+    yield pd.DataFrame({"bucket": np.append(at, -1), "inside": np.append(inside[at], docs[0]), "outside": np.append(outside[at], docs[1])})
+    rest = np.flatnonzero((inside == 0) & (outside > 0))
+    yield pd.DataFrame({"bucket": rest, "inside": 0, "outside": outside[rest]})
+
+
+def learned_words(seen: DataFrame) -> np.ndarray:
+    """Which counters are those of spam words: a bit for each of ``BUCKETS``, from all documents."""
+    uses = seen.select("codes", "sizes", "keys").mapInPandas(_uses, "bucket int, inside long, outside long").groupBy("bucket").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    # at most one row for each counter
+    return tied_to_spam(uses.where(f"a >= {LEAST_DOCUMENTS} or bucket = -1").toPandas())
+
+
+def tied_to_spam(rows: pd.DataFrame) -> np.ndarray:
+    """The counters that Dunning's ratio ties to spam lines; ``rows(bucket, a, b)``, bucket -1 has the documents of all."""
+    flags = np.zeros(BUCKETS, bool)
+    total = rows[rows.bucket == -1]
+    rows = rows[rows.bucket >= 0]
+    if not len(total) or not len(rows):
+        return flags
+    na, nb = float(total.a.iloc[0]), float(max(1, total.b.iloc[0]))
+    a, b = rows.a.to_numpy(float), rows.b.to_numpy(float)
+    part = lambda k, n, p: k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
+    p = (a + b) / (na + nb)
+    llr = 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
+    flags[rows.bucket[(llr >= LEAST_LLR) & (a / na >= LEAST_RATIO * b / nb)].to_numpy(int)] = True
+    return flags
+
+
+def with_learned(codes, sizes, keys, flags: np.ndarray) -> np.ndarray:
+    """The codes of a document's lines with the bin of the learned words; the last feature counts by ones.
+
+    A line of learned words is neither debris nor a book's "name: text", whatever its form.
+    """
+    codes, sizes = np.asarray(codes, np.int64), np.asarray(sizes, np.int64)
+    hits = np.concatenate([[0], np.cumsum(flags[np.asarray(keys, np.int64)])])
+    ends = np.cumsum(sizes)
+    bins = np.digitize((hits[ends] - hits[ends - sizes]) / np.maximum(sizes, 1), LEARNED)
+    # the features after "list" have 2 and 4 bins
+    listed = codes // 8 % 7
+    return codes + bins - 8 * np.where((bins >= 2) & (listed >= 5), listed, 0)
+
+
+def _counts(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, flags = Tables(), shared.value
+        totals = [np.zeros((len(STATES), size)) for _, size in FEATURES]
+        for b in batches:
+            docs = [with_learned(*d, flags) for d in zip(b.codes, b.sizes, b["keys"])]
+            if not docs:
+                continue
+            rest, states = np.concatenate(docs), np.concatenate(model.paths(docs)).astype(int)
+            for k in range(len(FEATURES) - 1, -1, -1):
+                size = FEATURES[k][1]
+                np.add.at(totals[k], (states, rest % size), 1)
+                rest = rest // size
+        rows = [(s, k, v, float(t[s, v])) for k, t in enumerate(totals) for s in range(len(STATES)) for v in range(t.shape[1]) if t[s, v]]
+        yield pd.DataFrame(rows, columns=["state", "feature", "bin", "n"])
+
+    return run
 
 
-def train(seen: DataFrame) -> Tables:
+def train(seen: DataFrame, flags: np.ndarray) -> Tables:
     """One round of Viterbi training over all documents; the sums have at most states times bins rows."""
-    sums = seen.select("codes").mapInPandas(_counts, "state int, feature int, bin int, n double").groupBy("state", "feature", "bin").agg(F.sum("n").alias("n"))
+    shared = seen.sparkSession.sparkContext.broadcast(flags)
+    sums = seen.drop("doc_id", "words").mapInPandas(_counts(shared), "state int, feature int, bin int, n double").groupBy("state", "feature", "bin").agg(F.sum("n").alias("n"))
     counts = [np.zeros((len(STATES), size)) for _, size in FEATURES]
     for r in sums.collect():
         counts[r.feature][r.state, r.bin] = r.n
     return Tables(counts)
 
 
-def judged(seen: DataFrame, model: Tables) -> DataFrame:
+def judged(seen: DataFrame) -> DataFrame:
     """(doc_id, words, spam_words, states) of observed documents."""
-    shared = seen.sparkSession.sparkContext.broadcast(model)
+    flags = learned_words(seen)
+    shared = seen.sparkSession.sparkContext.broadcast((train(seen, flags), flags))
 
     def run(batches):
         for b in batches:
-            paths = shared.value.paths([np.asarray(c, np.int64) for c in b.codes])
+            model, known = shared.value
+            paths = model.paths([with_learned(*d, known) for d in zip(b.codes, b.sizes, b["keys"])])
             words = [np.asarray(w, np.int64) for w in b.words]
             yield pd.DataFrame({
                 "doc_id": b.doc_id,
@@ -329,10 +424,10 @@ def judged(seen: DataFrame, model: Tables) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = observations(table(spark, sf_dir, "documents"))
-    return judged(seen, train(seen)).where(F.col("spam_words") > SHARE * F.col("words")).select("doc_id")
+    return judged(seen).where(F.col("spam_words") > SHARE * F.col("words")).select("doc_id")
 
 
 def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words stand in lines of each kind, by document."""
     seen = observations(table(spark, sf_dir, "documents"))
-    return judged(seen, train(seen)).select("doc_id", "words", "spam_words", F.size("states").alias("n_lines"), F.array_join("states", " ").alias("labels"))
+    return judged(seen).select("doc_id", "words", "spam_words", F.size("states").alias("n_lines"), F.array_join("states", " ").alias("labels"))
