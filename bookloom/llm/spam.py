@@ -84,9 +84,9 @@ DOTTED = re.compile(r"\.[A-Za-z\])[(]|www[\[(]", re.I)
 PRICED = re.compile(r"[%$€£₫★]")
 PRICED_WORDS = ("sku", "usd", "eur", "vnd", "stock", "cart")
 LEETED = re.compile(r"[03@1$5][^\W\d_]")
-EDGES = ".,;:!?…\"'“”‘’«»()[]{}<>#*-–—/|•。！？，、；：「」『』।؟،؛"
-TOKEN = re.compile(rf"[^\s{re.escape(EDGES)}](?:\S*[^\s{re.escape(EDGES)}])?")
-LEET = str.maketrans("03@1$5", "oeaiss")
+# words go on over apostrophes and hyphens; digits and signs for letters are read as those in lines that have them
+TOKEN = re.compile(r"[^\W_][\w\u0300-\u036f\u0900-\u0e7f'’@$-]*")
+LEET = str.maketrans("03@1$5_", "oeaiss ")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 WORD = re.compile(r"[^\w]{0,3}[^\W\d_]+(?:['’-][^\W\d_]+)*[^\w\s]{0,3}\Z|[–—-]\Z")
@@ -113,14 +113,14 @@ def lines(text: str) -> list[str]:
     return out
 
 
-def _repeated(line: str, words: list[str]) -> float:
+def _repeated(line: str, words: list[str], cjk: bool) -> float:
     """The share of a line in short sequences that it says again and again.
 
     Words: pairs said three times, longer words said four times.  Scripts
     without spaces: triples of characters said three times.  A refrain or a
     sentence said twice isn't what stuffing does.
     """
-    if len(CJK.findall(line)) * 2 > len(line):
+    if cjk and len(CJK.findall(line)) * 2 > len(line):
         s = "".join(words)
         if len(s) < 9:
             return 0.0
@@ -155,7 +155,8 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        out = self[word] = crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        # numbers and signs share counter 0, which is never learned
+        out = self[word] = crc32(word.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 if word[0].isalpha() else 0
         return out
 
 
@@ -164,32 +165,32 @@ _buckets = _Buckets()
 
 def features(line: str) -> tuple[int, int, list[int]]:
     """A line's bins as one number (that of the learned words still 0), its words, and their counters."""
-    # scripts without spaces begin with Thai
-    wide = max(line, default="") >= "฀"
+    wide = bool(UNSPACED.search(line))
     cjk = wide and bool(CJK.search(line))
-    words = len(WORDS.findall(line)) if cjk else len(line.split())
+    tokens = line.split()
+    words = len(WORDS.findall(line)) if cjk else len(tokens)
     n = max(1, len(line))
     linking = "." in line and DOTTED.search(line) or "://" in line or "<" in line or " dot " in line or "(" in line and "www(" in line.lower() or "[" in line and "www[" in line.lower()
     found = URL.findall(line) if linking else []
     linked = sum(map(len, found)) / n
-    rest = URL.sub(" ", line) if found else line
+    rest = line
+    if found:
+        rest = URL.sub(" ", line)
+        tokens = rest.split()
     url = 0 if not found else 1 if linked < 0.3 else 2 if linked < 0.6 else 3
     tags = len(HASH.findall(rest)) if "#" in rest else 0
     hashed = 0 if not tags else 1 if tags * 3 < words else 2
     separated = len(SEPARATOR.findall(rest)) / max(1, words)
     sep = 0 if separated < 0.12 else 1 if separated < 0.24 else 2
-    small = low = rest.lower()
-    if LEETED.search(low):
-        low = low.translate(LEET)
-    low = TOKEN.findall(low.replace("_", " "))
+    small = rest.lower()
+    low = TOKEN.findall(small.translate(LEET) if LEETED.search(small) else small.replace("_", " "))
     unspaced = wide and len(UNSPACED.findall(rest)) * 4 > len(rest)
     product = int((bool(PRICED.search(rest)) or any(w in small for w in PRICED_WORDS)) and bool(PRODUCT.search(rest)))
-    tokens = rest.split()
     longest = max(map(len, tokens), default=0)
     # a script that ends sentences with spaces writes prose in long runs
     running = unspaced and len(rest) > 9 * max(1, len(tokens))
     ended = int(running or bool(SENTENCE_END.search(rest)))
-    r = _repeated(rest, low)
+    r = _repeated(rest, low, cjk)
     if r >= 0.12 and ended:
         # sentences said again count once, if they are sentences
         kept, once = [], set()
@@ -199,7 +200,7 @@ def features(line: str) -> tuple[int, int, list[int]]:
                 once.add(part.strip())
         if len(kept) <= len(SENTENCE_END.findall(rest)):
             again = " ".join(kept)
-            r = _repeated(again, TOKEN.findall(again.lower().translate(LEET).replace("_", " ")))
+            r = _repeated(again, TOKEN.findall(again.lower().translate(LEET)), cjk)
     if not unspaced and longest >= 40 and longest * 3 > len(rest):
         r = 0.0
     repeated = 0 if r < 0.12 else 1 if r < 0.3 else 2 if r < 0.5 else 3
@@ -220,7 +221,7 @@ def features(line: str) -> tuple[int, int, list[int]]:
     if unspaced:
         # words of scripts without spaces: triples of characters
         low = [g for t in low for g in ((t[i : i + 3] for i in range(len(t) - 2)) if len(t) > 3 else (t,))]
-    return code, words, [_buckets[w] for w in low if w[0].isalpha()]
+    return code, words, list(map(_buckets.__getitem__, low))
 
 
 def _prior() -> list[np.ndarray]:
@@ -347,7 +348,7 @@ def tied_to_spam(rows: pd.DataFrame) -> np.ndarray:
     """The counters that Dunning's ratio ties to spam lines; ``rows(bucket, a, b)``, bucket -1 has the documents of all."""
     flags = np.zeros(BUCKETS, bool)
     total = rows[rows.bucket == -1]
-    rows = rows[rows.bucket >= 0]
+    rows = rows[rows.bucket > 0]
     if not len(total) or not len(rows):
         return flags
     na, nb = float(total.a.iloc[0]), float(max(1, total.b.iloc[0]))
