@@ -44,12 +44,17 @@ SPEECH_FROM, SPEECH_TO = "“”‘’«»", "\"\"''\"\""
 SPEECH_WORDS = [("…", "..."), ("—", " - "), ("–", " - ")]
 SPEECH_DROP = "[•●○★☆§]+"
 # Abbreviations and their readings, in order.
-ABBREVIATIONS = [("đ/c", "đồng chí"), ("TP", "Thành phố"), ("TT", "Thị trấn"), ("QĐ", "Quyết định"), ("TTCP", "Thủ tướng Chính phủ"), ("CP", "Chính phủ"), ("TNHH", "Trách nhiệm hữu hạn"), ("v\\.v", "vân vân")]
+ABBREVIATIONS = [("đ/c", "đồng chí"), ("TP", "Thành phố"), ("TT", "Thị trấn"), ("QĐ", "Quyết định"), ("TTCP", "Thủ tướng Chính phủ"), ("CP", "Chính phủ"), ("TNHH", "Trách nhiệm hữu hạn"), ("Cổ phần", "Cổ phần"), ("v\\.v\\.(?=[\\p{L}\\p{N}_])", "vân vân"), ("v\\.v", "vân vân")]
+# Lines that are never part of a book's text, as a pattern and as whole lines.
+NOISE_LINE = r"(?iu)^(?:https?://|m\. me/)|tinyurl|ebook miễn phí|webtietkiem\.com|(?<![\p{L}\p{N}_])(?:thuviensach|download|đăng ký kho sách|facebook|fanpage)(?![\p{L}\p{N}_])|^[0-9]{3,4}$"
+NOISE_LINES = ("ĐẮC NHÂN TÂM", "MỤC LỤC", "DALE CARNEGIE", "THÔNG TIN EBOOK")
 # Rules of noise blocks, in order; the first that holds names the rule.
 NOISE_RULES = [
     ("url", r"(?i)https?://|www\."),
+    ("domain", rf"(?i){NON_WS}\.(?:com|org|net|vn|io|edu|gov|info|me|co)\b"),
     ("social", r"(?i)\b(?:website|trang web|fanpage|facebook|youtube|zalo|tiktok|instagram|twitter|telegram)\b"),
     ("rule", r"^[-–—_=~]{3,}$"),
+    ("short", r"^[^a-zA-Zà-žÀ-Ž]{1,2}$"),
     ("leader", r"\.{3,}[ \t]*[0-9]+[ \t]*$"),
     ("navigation", r"(?i)^(?:trang|page|home|next|previous|back|menu|contents)$"),
     ("page", r"(?i)^(?:trang|page) *[0-9]+$"),
@@ -60,6 +65,7 @@ NOISE_RULES = [
     ("rights", r"(?i)Bản quyền|Copyright|©|All rights reserved"),
     ("download", r"(?i)đọc +sách +online|ebook|e-book|scan|pdf|epub|download|tải +sách|nguồn *:"),
     ("contact", r"(?i)Liên hệ.*[0-9]{4,}|Điện thoại|Fax *:"),
+    ("contents", r"(?i)Mục lục|Table of Contents"),
     ("note", r"^ *\[[0-9]+\].*"),
     ("credits", r"(?i)Chịu trách nhiệm xuất bản|Biên tập|Trình bày bìa"),
 ]
@@ -90,18 +96,36 @@ def clean_text(c: Column) -> Column:
 
 def expand_abbreviations(c: Column) -> Column:
     for short, long in ABBREVIATIONS:
-        c = F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){short}(?![\p{{L}}\p{{N}}_])", long)
+        end = "" if short.endswith(")") else r"(?![\p{L}\p{N}_])"
+        c = F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){short}{end}", long)
     return c
 
 
+def is_noise_line(c: Column) -> Column:
+    """Empty lines, links, shop names, bare page numbers of three or four digits and a few whole lines."""
+    return (c == "") | c.isin(*NOISE_LINES) | c.rlike(NOISE_LINE)
+
+
 def noise_rule(c: Column) -> Column:
     """The rule by which a block is noise, or null."""
+    # A domain makes noise of short blocks and of those with a path or an address, a contents title of short ones
+    also = {"domain": (word_count(c) <= 12) | c.rlike("[/@]"), "contents": F.length(c) < 30}
     out = None
     for name, pattern in NOISE_RULES:
-        out = F.when(c.rlike(pattern), name) if out is None else out.when(c.rlike(pattern), name)
+        hit = c.rlike(pattern) & also[name] if name in also else c.rlike(pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
+# How a short block begins that is a heading.
+PROMOTED = r"(?iu)^(?:Chương|Chapter|Tiết|Phần|Mục|Hồi) +(?:[0-9]+|[IVXLCDM]+|[MộtHaiBaBốnNămSáuBảyTámChínMười]+)"
+
+
+def is_promoted(c: Column) -> Column:
+    """Whether a cleaned block of fewer than ten words is a heading by its beginning."""
+    return (word_count(c) < 10) & c.rlike(PROMOTED)
+
+
 def dedupe_key(c: Column) -> Column:
     """Lower case, digits as #, single spaces, trimmed of rules and bullets, 120 characters."""
     out = F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", "#"), f"{WS}+", " ")
@@ -137,11 +161,13 @@ def is_dialogue(c: Column) -> Column:
 def language(c: Column, threshold: float = 0.015) -> Column:
     """vi, zh, en or unknown, by the letters of the first 5000 characters."""
     head = F.substring(c, 1, 5000)
-    share = lambda keep: (F.length(head) - F.length(F.regexp_replace(head, keep, ""))) / F.length(head)
+    # letters are counted by what is left without them, runs of others by what is left of them
+    vietnamese = F.length(head) - F.length(F.translate(head, VIETNAMESE, ""))
+    chinese = F.length(F.regexp_replace(head, "[^一-鿿]+", ""))
     return (
-        F.when(c.isNull() | (F.regexp_replace(head, f"{WS}+", "") == ""), "unknown")
-        .when(share(f"[{VIETNAMESE}]") >= threshold, "vi")
-        .when(share("[一-鿿]") > 0.1, "zh")
+        F.when(c.isNull() | ~head.rlike(NON_WS), "unknown")
+        .when(vietnamese / F.length(head) >= threshold, "vi")
+        .when(chinese / F.length(head) > 0.1, "zh")
         .otherwise("en")
     )
 

@@ -3,47 +3,37 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.functions import text as T
 
-# What marks chapters, parts and supplements.
-ORDINAL = "NHẤT|NHÌ|HAI|BA|BỐN|TƯ|NĂM|SÁU|BẢY|TÁM|CHÍN|MƯỜI|MỘT|MỐT|MƯƠI|ĐỘC NHẤT"
-MARKER = rf"(?:CHƯƠNG|CHUONG|CHAPTER|KAPITEL|CHAPITRE|CAPÍTULO|ГЛАВА)\s+(?:{ORDINAL}|[IVXLCDM]+|\d+)"
-PATTERNS = {
-    "marker": rf"\s*{MARKER}\s*:?\s*\Z",
-    "inline": rf"\s*{MARKER}\s*[:.\-]",
-    "part": r"\s*(?:PHẦN\s+(?:THỨ\s+.+|\d{1,2})|PART\s+\d{1,2})\s*\Z",
-    "supplement": r"\s*(?:LỜI\s+NHÀ\s+XUẤT\s+BẢN|VÀI\s+LỜI\s+THƯA\s+TRƯỚC|TỰA|GIỚI\s+THIỆU|BẢNG\s+THUẬT\s+NGỮ|PHỤ\s+LỤC.*|PREFACE|INTRODUCTION|APPENDIX.*|GLOSSARY)\s*\Z",
-    "number": r"\s*\d{1,2}\s*\Z",
-}
-IS = {name: re.compile(p, re.I) for name, p in PATTERNS.items()}
-# Lines that are never part of a book's text.
-NOISE_LINE = re.compile(r"https?://|m\. me/", re.I)
-NOISE_WORD = re.compile(r"\b(?:thuviensach|download|đăng ký kho sách|facebook|fanpage)\b|tinyurl", re.I)
-FALLBACK_TITLE = "Nội dung"
-CHAPTERS = "book_id long, chapter_no int, title string, page_start int, page_end int, paragraphs array<string>"
-
-
 def document_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): normalised lines that hold something; line numbers count from 0."""
     split = documents.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     return split.select("doc_id", "line_no", T.normalize_space(F.col("line")).alias("line")).where("line <> ''")
 
 
-def contents_pages(pages: DataFrame) -> DataFrame:
-    """Whether a page is a table of contents: dotted leaders, many chapter or numbered lines, or its title."""
-    x = F.transform(F.coalesce("lines", F.array().cast("array<string>")), lambda s: T.normalize_space(s))
+def is_contents(lines: Column) -> Column:
+    """(leaders, numbered, flag) of a page's lines: whether it is a table of contents by dotted leaders, many chapter or
+    numbered lines, or its title."""
+    x = F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda s: T.normalize_space(s))
     many = lambda p: F.size(F.filter(x, lambda s: s.rlike(p)))
     leaders, chapters, numbered = many(r"\.{4,} *[0-9]+"), many(r"(?iu)^(?:Chương|Chapter) +"), many(r"^[0-9]{1,2} +[^ ]+")
     bare, parts = many(r"^[0-9]{1,2}$"), many(r"(?iu)^(?:PHẦN +(?:THỨ +.+|[0-9]{1,2})|PART +[0-9]{1,2})$")
     titled = many(r"(?iu)^(?:mục lục|table of contents)$")
     flag = (titled > 0) | (leaders >= 2) | (chapters >= 4) | (numbered >= 4) | ((bare >= 4) & (parts >= 1)) | (parts >= 3)
-    return pages.select("page_id", leaders.alias("leaders"), numbered.alias("numbered"), flag.alias("is_contents"))
+    return F.struct(leaders.alias("leaders"), numbered.alias("numbered"), flag.alias("flag"))
+
+
+def contents_pages(pages: DataFrame) -> DataFrame:
+    """Whether a page is a table of contents."""
+    told = pages.select("page_id", is_contents(F.col("lines")).alias("c"))
+    return told.select("page_id", "c.leaders", "c.numbered", F.col("c.flag").alias("is_contents"))
 
 
 def repeated_lines(lines: DataFrame, most_words: int = 14, least: int = 3) -> DataFrame:
@@ -56,211 +46,38 @@ def repeated_lines(lines: DataFrame, most_words: int = 14, least: int = 3) -> Da
     return keyed.groupBy("book_id", "key").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (T.word_count(F.col("key")) <= most_words))
 
 
-def keywords(texts: DataFrame, key: str, stop: list[str], k: int = 10) -> DataFrame:
-    """The k most frequent words of each text, ties by first use: (key, word, n, rank)."""
-    words = texts.select(key, F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("pos", "word"))
-    words = words.where(F.col("word").rlike("^[a-zà-ỹ_]+$") & (F.length("word") > 2) & ~F.col("word").isin(stop))
-    counts = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    rank = Window.partitionBy(key).orderBy(F.desc("n"), "pos")
-    return counts.withColumn("rank", F.row_number().over(rank)).where(f"rank <= {k}").select(key, "word", "n", "rank")
-
-
-def entities(texts: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """Runs of two or more capitalised words, the k most frequent of each text."""
-    # The letters that count as capital and small.
-    found = F.regexp_extract_all("text", F.lit(r"(?U)\b[A-ZÀ-Ỹ][a-zà-ỹ]+\s[A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s[A-ZÀ-Ỹ][a-zà-ỹ]+)*\b"), F.lit(0))
-    names = texts.select(key, F.posexplode(found).alias("pos", "name"))
-    counts = names.groupBy(key, "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    rank = Window.partitionBy(key).orderBy(F.desc("n"), "pos")
-    return counts.withColumn("rank", F.row_number().over(rank)).where(f"rank <= {k}").select(key, "name", "n", "rank")
-
-
-class Detector:
-    """Chapters of a paged book, found line by line.
-
-    A marker line waits for its title on the lines after it; a part's name goes
-    before the titles of its chapters; supplements are skipped.  Written as a
-    small state machine because a line's meaning depends on the state and on
-    lines to come.
-    """
-
-    def __init__(self, numbers_alone: bool):
-        self.numbers_alone = numbers_alone
-        self.chapters: list[dict] = []
-        self.open: list[str] = []
-        self.part: str | None = None
-        self.current: dict | None = None
-        self.waiting = False
-
-    def close_paragraph(self) -> None:
-        if self.current is not None and self.open:
-            self.current["paragraphs"].append(" ".join(self.open))
-        self.open = []
-
-    def begin(self, title: str, page: int) -> None:
-        self.close_paragraph()
-        if self.part:
-            title = f"{self.part} - {title}"
-        self.current = {"title": title, "page_start": page, "page_end": page, "paragraphs": []}
-        self.chapters.append(self.current)
-
-    def page(self, page: int, lines: list[str]) -> None:
-        skip = 0
-        for i, line in enumerate(lines):
-            if skip:
-                skip -= 1
-            elif self.current is not None and line.casefold() == self.current["title"].casefold():
-                continue
-            elif IS["supplement"].match(line):
-                self.close_paragraph()
-                self.current, self.waiting = None, False
-            elif IS["part"].match(line):
-                self.close_paragraph()
-                self.part = line
-            elif self.waiting:
-                title = title_lines(lines[i:])
-                self.begin(" ".join(title) or line, page)
-                self.waiting, skip = False, max(0, len(title) - 1)
-            elif IS["marker"].match(line) or self.numbered(lines, i):
-                self.close_paragraph()
-                self.waiting = True
-            elif IS["inline"].match(line) and len(line.split()) <= 18:
-                self.begin(re.sub(r"\.{3,}.*", "", line).strip(), page)
-            elif self.current is not None:
-                self.current["page_end"] = page
-                self.open.append(line)
-                if re.search(r"[.!?…”\"]\Z", line):
-                    self.close_paragraph()
-
-    def numbered(self, lines: list[str], i: int) -> bool:
-        return bool((self.part or self.numbers_alone) and IS["number"].match(lines[i]) and i + 1 < len(lines) and heading_like(lines[i + 1]))
-
-
-def heading_like(line: str) -> bool:
-    """Supplements, parts and short lines in capitals."""
-    if IS["supplement"].match(line) or IS["part"].match(line):
-        return True
-    letters = re.sub(r"[\W\d_]", "", line)
-    return len(line.split()) <= 16 and (line.strip().casefold() == "action" or bool(letters) and letters == letters.upper())
+# What counts as a keyword's letters, and as capital and small letters of names.
+KEYWORD = re.compile(r"[a-zà-ỹ_]{3,}")
+NAME = re.compile(r"\b[A-ZÀ-Ỹ][a-zà-ỹ]+\s[A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s[A-ZÀ-Ỹ][a-zà-ỹ]+)*\b")
+#: Characters of a text in which names are looked for.
+NAME_HEAD = 50_000
 
 
-def title_lines(lines: list[str]) -> list[str]:
-    out = []
-    for line in lines:
-        if any(IS[k].match(line) for k in ("marker", "number", "supplement", "part")) or not heading_like(line):
-            break
-        out.append(line)
-    return out
+def _most_used(find: Callable[[str], list[str]], key: str, name: str, k: int):
+    """Counts within each row, in Arrow batches: a row's words never leave it, so nothing is shuffled."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # most_common keeps the order of first use among equals
+            rows = [(x, w, n, r) for x, t in zip(b[key], b.text) if t for r, (w, n) in enumerate(Counter(find(t)).most_common(k), 1)]
+            yield pd.DataFrame(rows, columns=[key, name, "n", "rank"])
 
-def kept_lines(lines: list[str] | None) -> list[str]:
-    """Normalised lines without links, shop names and bare page numbers."""
-    out = []
-    for line in lines if lines is not None else []:
-        line = re.sub(r"\s+", " ", (line or "").replace("Ƣ", "Ư").replace("ƣ", "ư")).strip()
-        if line and not NOISE_LINE.match(line) and not NOISE_WORD.search(line) and not re.fullmatch(r"\d{3,4}", line):
-            out.append(line)
-    return out
+    return run
 
 
-def is_contents(lines: list[str]) -> bool:
-    count = lambda test: sum(bool(test(x)) for x in lines)
-    bare, parts = count(IS["number"].match), count(IS["part"].match)
-    return (
-        count(re.compile(r"\s*(?:mục lục|table of contents)\s*\Z", re.I).match) > 0
-        or count(re.compile(r"\.{4,}\s*\d+").search) >= 2
-        or count(re.compile(r"\s*(?:Chương|Chapter)\s+", re.I).match) >= 4
-        or count(re.compile(r"\d{1,2}\s+\S+").match) >= 4
-        or bare >= 4 and parts >= 1
-        or parts >= 3
-    )
-
-
-def chapters_of(pages: list[tuple[int, list[str]]], numbers_alone: bool = False) -> list[dict]:
-    """Chapters of one book's pages in order; contents pages are left out.
-
-    A book without any heading is one chapter under a stand-in title.
-    """
-    state, rest = Detector(numbers_alone), []
-    for number, raw in pages:
-        lines = kept_lines(raw)
-        if not lines or is_contents(lines) and len(pages) > 1:
-            continue
-        rest += lines
-        state.page(number, lines)
-    state.close_paragraph()
-    found = [c for c in state.chapters if c["paragraphs"]]
-    if not found and rest:
-        found = [{"title": FALLBACK_TITLE, "page_start": 1, "page_end": max(n for n, _ in pages), "paragraphs": [" ".join(rest)]}]
-    return found
-
-
-def detect_chapters(pages: DataFrame) -> DataFrame:
-    """Chapters of ``pages(book_id, page_number, lines)``; a book is one group, as its state runs from page to page.
-
-    A group's size is a book's, which doesn't grow with the number of books.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page_number", kind="stable")
-        found = chapters_of([(int(n), list(x) if x is not None else []) for n, x in zip(pdf.page_number, pdf.lines)])
-        rows = [(int(pdf.book_id.iloc[0]), k, c["title"], c["page_start"], c["page_end"], c["paragraphs"]) for k, c in enumerate(found)]
-        return pd.DataFrame(rows, columns=["book_id", "chapter_no", "title", "page_start", "page_end", "paragraphs"])
-
-    return pages.where("page_number is not null").groupBy("book_id").applyInPandas(run, CHAPTERS)
-
-
-def merge_blocks(blocks: list[tuple[str, bool]], most: int = 50) -> list[tuple[str, bool]]:
-    """Body blocks joined until a heading, ``most`` sentences, or three in a row that end no sentence.
-
-    The third unfinished block closes its paragraph and is not repeated in the next.
-    """
-    out: list[tuple[str, bool]] = []
-    parts: list[str] = []
-    loose = 0
-
-    def flush():
-        nonlocal loose
-        if parts:
-            out.append((re.sub(r"\s+", " ", " ".join(parts)).strip(), False))
-        parts.clear()
-        loose = 0
-
-    for text, heading in blocks:
-        if heading:
-            flush()
-            out.append((text, True))
-            continue
-        if not text:
-            continue
-        if re.search(r"[.?!。！？]\s*\Z", text):
-            parts.append(text)
-            loose = 0
-        else:
-            if parts and not re.search(r"[.?!。！？]\s*\Z", parts[-1]):
-                parts[-1] += " " + text
-            else:
-                parts.append(text)
-            loose += 1
-        if loose >= 3 or len(parts) >= most:
-            flush()
-    flush()
-    return out
-
-
-MERGED = "book_id long, chapter_index int, block_no int, text string, is_heading boolean"
+def keywords(texts: DataFrame, key: str, stop: list[str], k: int = 10) -> DataFrame:
+    """The k most frequent words of each text, ties by first use: (key, word, n, rank).  Null and empty texts have none."""
+    out = frozenset(stop)
 
+    def find(text: str) -> list[str]:
+        return [w for w in re.findall(r"\w+", text.lower()) if w not in out and KEYWORD.fullmatch(w)]
 
-def merged_blocks(blocks: DataFrame) -> DataFrame:
-    """``blocks(book_id, chapter_index, block_no, text, is_heading)`` merged within each chapter."""
+    return texts.select(key, "text").mapInPandas(_most_used(find, key, "word", k), f"{key} long, word string, n long, rank int")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_no", kind="stable")
-        out = merge_blocks([(t or "", bool(h)) for t, h in zip(pdf.text, pdf.is_heading)])
-        rows = [(int(pdf.book_id.iloc[0]), int(pdf.chapter_index.iloc[0]), k, t, h) for k, (t, h) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["book_id", "chapter_index", "block_no", "text", "is_heading"])
 
-    return blocks.groupBy("book_id", "chapter_index").applyInPandas(run, MERGED)
+def entities(texts: DataFrame, key: str, k: int = 5, head: int = NAME_HEAD) -> DataFrame:
+    """Runs of two or more capitalised words in a text's first ``head`` characters, the k most frequent of each text."""
+    return texts.select(key, "text").mapInPandas(_most_used(lambda t: NAME.findall(t[:head]), key, "name", k), f"{key} long, name string, n long, rank int")
 
 
 def sentence_stub(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most this many rows of a few numbers may be broadcast; its rows are counted first.
 MOST_BROADCAST = 1_000_000
+#: Rows of one key that a single task may sort.
+HOT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,16 +78,35 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], **values) -> DataFrame:
-    """Running values of ``values``: name=(column, 'sum' | 'max' | 'count' | 'last' | 'lag').
+def has_hot_key(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a key has more rows than one task should sort: a combined count of the key columns alone."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).limit(1).count() > 0
 
-    Rows are sorted by range on keys and order, so that a key with a third of all
-    rows is spread over as many ranges as it needs.  Values run within each range;
-    what earlier ranges of the same key end with is added from a table with one
-    row for each key and range.  Order columns must tell rows of a key apart.
-    Nulls don't change a running value; before the first value it is null (count: 0).
-    'lag' is the value of the row before, null in a key's first row.
+
+def running(df: DataFrame, keys: list[str], order: list[str], hot: bool | None = None, **values) -> DataFrame:
+    """Running values of ``values``: name=(column, 'sum' | 'max' | 'count' | 'last' | 'lag' | 'before').
+
+    Where no key has more than ``HOT_ROWS`` rows (counted first, unless ``hot`` tells), a window for each key does it.
+    Otherwise rows are sorted by range on keys and order, so that a key with a third of all rows is spread over as many
+    ranges as it needs; values run within each range, and what earlier ranges of the same key end with is added from a
+    table with one row for each key and range.  Both give the same rows.
+
+    Order columns must tell rows of a key apart.  Nulls don't change a running value; before the first value it is null
+    (count: 0).  'lag' is the value of the row before, null in a key's first row; 'before' is the last value of the
+    rows before.
     """
+    if hot if hot is not None else has_hot_key(df, keys):
+        return _running_by_range(df, keys, order, values)
+    each = Window.partitionBy(*keys).orderBy(*order)
+    so_far, earlier = each.rowsBetween(Window.unboundedPreceding, 0), each.rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {
+        "sum": lambda c: F.sum(c).over(so_far), "max": lambda c: F.max(c).over(so_far), "count": lambda c: F.count(c).over(so_far),
+        "last": lambda c: F.last(c, ignorenulls=True).over(so_far), "before": lambda c: F.last(c, ignorenulls=True).over(earlier), "lag": lambda c: F.lag(c).over(each),
+    }
+    return df.withColumns({name: kinds[kind](column) for name, (column, kind) in values.items()})
+
+
+def _running_by_range(df: DataFrame, keys: list[str], order: list[str], values: dict) -> DataFrame:
     ranged = materialise(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_part").orderBy(*order)
     local = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -93,14 +114,20 @@ def running(df: DataFrame, keys: list[str], order: list[str], **values) -> DataF
     for name, (column, kind) in values.items():
         if kind == "lag":
             ranged = ranged.withColumn(f"_{name}", F.lag(column).over(inside)).withColumn(f"_{name}_first", F.row_number().over(inside) == 1)
+        elif kind == "before":
+            ranged = ranged.withColumn(f"_{name}", F.last(column, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
         else:
             ranged = ranged.withColumn(f"_{name}", kinds[kind](column).over(local))
-    at = [F.max_by(column if kind == "lag" else f"_{name}", F.struct(*order)).alias(f"_{name}_end") for name, (column, kind) in values.items()]
+    last = F.struct(*order)
+    at = [
+        F.max_by(column, F.when(F.col(column).isNotNull(), last) if kind == "before" else last).alias(f"_{name}_end") if kind in ("lag", "before") else F.max_by(f"_{name}", last).alias(f"_{name}_end")
+        for name, (column, kind) in values.items()
+    ]
     ends = ranged.groupBy(*keys, "_part").agg(*at)
     ranges = Window.partitionBy(*keys).orderBy("_part")
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
     for name, (_, kind) in values.items():
-        carry = {"sum": F.sum, "count": F.sum, "max": F.max, "last": kinds["last"]}
+        carry = {"sum": F.sum, "count": F.sum, "max": F.max, "last": kinds["last"], "before": kinds["last"]}
         ends = ends.withColumn(f"_{name}_before", F.lag(f"_{name}_end").over(ranges) if kind == "lag" else carry[kind](f"_{name}_end").over(before))
     ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_part"])], *[f"_{n}_before" for n in values])
     same = F.lit(True)
@@ -119,6 +146,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], **values) -> DataF
                 "count": here + F.coalesce(earlier, F.lit(0)),
                 "max": F.greatest(here, earlier),
                 "last": F.coalesce(here, earlier),
+                "before": F.coalesce(here, earlier),
             }[kind]
         out = out.withColumn(name, both)
         drop += [f"_{name}", f"_{name}_before"]

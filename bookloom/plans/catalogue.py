@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions import arrays as A
 from bookloom.functions import text as T
+from bookloom.operators import chapters as C
 from bookloom.operators import documents as D
 from bookloom.operators import segments as S
 from bookloom.operators.tables import once, running, table
@@ -123,14 +124,14 @@ def contents_pages(spark, d):
 
 @query()
 def chapter_detect(spark, d):
-    return D.detect_chapters(once(table(spark, d, "source_pages").select("page_id", "book_id", "page_number", "lines"), "page_id"))
+    return C.detect_chapters(once(table(spark, d, "source_pages").select("page_id", "book_id", "page_number", "lines"), "page_id"))
 
 
 @query()
 def merge_body_blocks(spark, d):
     p = once(table(spark, d, "paragraphs").select("paragraph_id", "book_id", "chapter_index", "paragraph_index", "text"), "paragraph_id")
     blocks = p.select("book_id", "chapter_index", F.col("paragraph_index").alias("block_no"), T.clean_text(F.col("text")).alias("text"), F.lit(False).alias("is_heading"))
-    return D.merged_blocks(blocks)
+    return C.merged_blocks(blocks)
 
 
 HEAD = r"(?i)^(?:chương|chapter|kapitel|chapitre|capítulo|глава|phần) *[0-9]+"
