@@ -268,33 +268,33 @@ class Tables:
             rest = rest // size
         return out
 
-    def paths(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """The state of each line of each document; documents run side by side."""
-        out: list = [None] * len(docs)
-        order = sorted((i for i in range(len(docs)) if len(docs[i])), key=lambda i: len(docs[i]))
+    def paths(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The state of each line of documents that stand one after another; documents run side by side."""
+        out = np.zeros(len(codes), np.int8)
+        emit_all, starts = self.emissions(codes), np.cumsum(sizes) - sizes
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
         for a in range(0, len(order), 1024):
             some = order[a : a + 1024]
-            sizes = np.array([len(docs[i]) for i in some])
-            width = int(sizes.max())
-            flat = self.emissions(np.concatenate([docs[i] for i in some]))
-            emit = np.zeros((len(some), width, len(STATES)))
-            emit[np.arange(width) < sizes[:, None]] = flat
+            own, width = sizes[some], int(sizes[some].max())
+            inside = np.arange(width) < own[:, None]
+            at = np.where(inside, starts[some][:, None] + np.arange(width), 0)
+            emit = emit_all[at]
             score, came = self.first + emit[:, 0], np.zeros((width, len(some), len(STATES)), np.int8)
             final = score.copy()
             for t in range(1, width):
                 step = score[:, :, None] + self.moves
                 came[t] = step.argmax(axis=1)
                 score = step.max(axis=1) + emit[:, t]
-                final = np.where((sizes > t)[:, None], score, final)
-            at, ending, each = np.zeros(len(some), int), final.argmax(axis=1), np.arange(len(some))
-            back = np.zeros((width, len(some)), np.int8)
+                final = np.where((own > t)[:, None], score, final)
+            state, ending, each = np.zeros(len(some), int), final.argmax(axis=1), np.arange(len(some))
+            back = np.zeros((len(some), width), np.int8)
             for t in range(width - 1, -1, -1):
-                at = np.where(sizes == t + 1, ending, at)
-                back[t] = at
-                at = came[t, each, at]
-            for r, i in enumerate(some):
-                out[i] = back[: sizes[r], r]
-        return [np.zeros(0, np.int8) if p is None else p for p in out]
+                state = np.where(own == t + 1, ending, state)
+                back[:, t] = state
+                state = came[t, each, state]
+            out[at[inside]] = back[inside]
+        return out
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,26 +320,35 @@ def observations(documents: DataFrame) -> DataFrame:
     return materialise(texts.mapInArrow(_observe, SEEN))
 
 
-def _uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Batch:
+    """A batch of observations as flat arrays: the codes, words and numbers of keys of all lines, and all keys."""
+
+    def __init__(self, b: pa.RecordBatch):
+        flat = lambda name: b.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.codes, self.n_keys, self.keys = flat("codes"), flat("sizes"), flat("keys")
+        self.sizes = b.column("codes").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.doc_of_line = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each counter in spam lines and in others, by the lines' form alone; two tables of one size."""
     model = Tables(form_only=True)
-    inside, outside, docs = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(2, np.int64)
-    for b in batches:
-        for path, sizes, keys in zip(model.paths([np.asarray(c, np.int64) for c in b.codes]), b.sizes, b["keys"]):
-            spam = np.repeat(SPAM[path.astype(int)], np.asarray(sizes, int))
-            keys = np.asarray(keys, int)
-            inside[np.unique(keys[spam])] += 1
-            outside[np.unique(keys[~spam])] += 1
-            docs += (spam.any(), (~spam).any())
-    at = np.flatnonzero(inside)
-    yield pd.DataFrame({"bucket": np.append(at, -1), "inside": np.append(inside[at], docs[0]), "outside": np.append(outside[at], docs[1])})
-    rest = np.flatnonzero((inside == 0) & (outside > 0))
-    yield pd.DataFrame({"bucket": rest, "inside": 0, "outside": outside[rest]})
+    uses, docs = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    for r in batches:
+        b = _Batch(r)
+        spam = SPAM[model.paths(b.codes, b.sizes).astype(int)]
+        of_key, doc = np.repeat(spam, b.n_keys), np.repeat(b.doc_of_line, b.n_keys)
+        for k, (lines_, keys_) in enumerate(((spam, of_key), (~spam, ~of_key))):
+            uses[k] += np.bincount(np.unique(doc[keys_] * BUCKETS + b.keys[keys_]) % BUCKETS, minlength=BUCKETS)
+            docs[k] += len(np.unique(b.doc_of_line[lines_]))
+    at = np.flatnonzero(uses.any(axis=0))
+    columns = [np.append(at, -1).astype(np.int32), *(np.append(u[at], d) for u, d in zip(uses, docs))]
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["bucket", "inside", "outside"])
 
 
 def learned_words(seen: DataFrame) -> np.ndarray:
     """Which counters are those of spam words: a bit for each of ``BUCKETS``, from all documents."""
-    uses = seen.select("codes", "sizes", "keys").mapInPandas(_uses, "bucket int, inside long, outside long").groupBy("bucket").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
+    uses = seen.select("codes", "sizes", "keys").mapInArrow(_uses, "bucket int, inside long, outside long").groupBy("bucket").agg(F.sum("inside").alias("a"), F.sum("outside").alias("b"))
     # at most one row for each counter
     return tied_to_spam(uses.where(f"a >= {LEAST_DOCUMENTS} or bucket = -1").toPandas())
 
@@ -360,35 +369,33 @@ def tied_to_spam(rows: pd.DataFrame) -> np.ndarray:
     return flags
 
 
-def with_learned(codes, sizes, keys, flags: np.ndarray) -> np.ndarray:
-    """The codes of a document's lines with the bin of the learned words; the last feature counts by ones.
+def with_learned(b: _Batch, flags: np.ndarray) -> np.ndarray:
+    """The codes of lines with the bin of the learned words; the last feature counts by ones.
 
     A line of learned words is neither debris nor a book's "name: text", whatever its form.
     """
-    codes, sizes = np.asarray(codes, np.int64), np.asarray(sizes, np.int64)
-    hits = np.concatenate([[0], np.cumsum(flags[np.asarray(keys, np.int64)])])
-    ends = np.cumsum(sizes)
-    bins = np.digitize((hits[ends] - hits[ends - sizes]) / np.maximum(sizes, 1), LEARNED)
+    hits = np.concatenate([[0], np.cumsum(flags[b.keys])])
+    ends = np.cumsum(b.n_keys)
+    bins = np.digitize((hits[ends] - hits[ends - b.n_keys]) / np.maximum(b.n_keys, 1), LEARNED)
     # the features after "list" have 2 and 4 bins
-    listed = codes // 8 % 7
-    return codes + bins - 8 * np.where((bins >= 2) & (listed >= 5), listed, 0)
+    listed = b.codes // 8 % 7
+    return b.codes + bins - 8 * np.where((bins >= 2) & (listed >= 5), listed, 0)
 
 
 def _counts(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, flags = Tables(), shared.value
         totals = [np.zeros((len(STATES), size)) for _, size in FEATURES]
-        for b in batches:
-            docs = [with_learned(*d, flags) for d in zip(b.codes, b.sizes, b["keys"])]
-            if not docs:
-                continue
-            rest, states = np.concatenate(docs), np.concatenate(model.paths(docs)).astype(int)
+        for r in batches:
+            b = _Batch(r)
+            rest = with_learned(b, flags)
+            states = model.paths(rest, b.sizes).astype(int)
             for k in range(len(FEATURES) - 1, -1, -1):
                 size = FEATURES[k][1]
-                np.add.at(totals[k], (states, rest % size), 1)
+                totals[k] += np.bincount(states * size + rest % size, minlength=len(STATES) * size).reshape(len(STATES), size)
                 rest = rest // size
         rows = [(s, k, v, float(t[s, v])) for k, t in enumerate(totals) for s in range(len(STATES)) for v in range(t.shape[1]) if t[s, v]]
-        yield pd.DataFrame(rows, columns=["state", "feature", "bin", "n"])
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["state", "feature", "bin", "n"]).astype({"state": "int32", "feature": "int32", "bin": "int32", "n": "float64"}), preserve_index=False)
 
     return run
 
@@ -396,7 +403,7 @@ def _counts(shared):
 def train(seen: DataFrame, flags: np.ndarray) -> Tables:
     """One round of Viterbi training over all documents; the sums have at most states times bins rows."""
     shared = seen.sparkSession.sparkContext.broadcast(flags)
-    sums = seen.drop("doc_id", "words").mapInPandas(_counts(shared), "state int, feature int, bin int, n double").groupBy("state", "feature", "bin").agg(F.sum("n").alias("n"))
+    sums = seen.select("codes", "sizes", "keys").mapInArrow(_counts(shared), "state int, feature int, bin int, n double").groupBy("state", "feature", "bin").agg(F.sum("n").alias("n"))
     counts = [np.zeros((len(STATES), size)) for _, size in FEATURES]
     for r in sums.collect():
         counts[r.feature][r.state, r.bin] = r.n
@@ -404,23 +411,21 @@ def train(seen: DataFrame, flags: np.ndarray) -> Tables:
 
 
 def judged(seen: DataFrame) -> DataFrame:
-    """(doc_id, words, spam_words, states) of observed documents."""
+    """(doc_id, words, spam_words, states) of observed documents; states are numbers, in the order of ``STATES``."""
     flags = learned_words(seen)
     shared = seen.sparkSession.sparkContext.broadcast((train(seen, flags), flags))
 
     def run(batches):
-        for b in batches:
+        for r in batches:
             model, known = shared.value
-            paths = model.paths([with_learned(*d, known) for d in zip(b.codes, b.sizes, b["keys"])])
-            words = [np.asarray(w, np.int64) for w in b.words]
-            yield pd.DataFrame({
-                "doc_id": b.doc_id,
-                "words": [int(w.sum()) for w in words],
-                "spam_words": [int(w[SPAM[p.astype(int)]].sum()) for w, p in zip(words, paths)],
-                "states": [[STATES[x] for x in p] for p in paths],
-            })
+            b = _Batch(r)
+            path = model.paths(with_learned(b, known), b.sizes)
+            words = r.column("words").flatten().to_numpy(zero_copy_only=False)
+            sums = [np.bincount(b.doc_of_line, w, len(b.sizes)).astype(np.int64) for w in (words, words * SPAM[path.astype(int)])]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(b.sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([r.column("doc_id"), *map(pa.array, sums), pa.ListArray.from_arrays(offsets, pa.array(path.astype(np.int32)))], ["doc_id", "words", "spam_words", "states"])
 
-    return seen.mapInPandas(run, "doc_id long, words long, spam_words long, states array<string>")
+    return seen.mapInArrow(run, "doc_id long, words long, spam_words long, states array<int>")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,4 +436,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words stand in lines of each kind, by document."""
     seen = observations(table(spark, sf_dir, "documents"))
-    return judged(seen).select("doc_id", "words", "spam_words", F.size("states").alias("n_lines"), F.array_join("states", " ").alias("labels"))
+    return judged(seen).select("doc_id", "words", "spam_words", F.size("states").alias("n_lines"), F.array_join(F.transform("states", lambda k: F.array(*map(F.lit, STATES))[k]), " ").alias("labels"))

@@ -119,9 +119,14 @@ def test_sentence_places():
 
 def test_spam_lines():
     assert spam.lines("") == [] and "".join(spam.lines("ab. " * 500)).replace(" ", "") == "ab." * 500
-    model = spam.Tables()
-    kinds = lambda t: [spam.STATES[s] for s in model.paths([np.array([spam.features(x)[0] for x in spam.lines(t)])])[0]]
+    model = spam.Tables(form_only=True)
+
+    def kinds(t):
+        codes = np.array([spam.features(x)[0] for x in spam.lines(t)])
+        return [spam.STATES[s] for s in model.paths(codes, np.array([len(codes)]))]
+
     assert set(kinds("https://a.test/1\nhttps://b.test/2\nhttp://c.test")) == {"link"}
+    assert len(model.paths(np.zeros(0, int), np.zeros(2, int))) == 0
     assert set(kinds("#buy #cheap #best_price #online #buy")) == {"tag"}
     assert set(kinds("fish sauce, fish sauce! FISH SAUCE fish s@uce fish sauce fishsauce fish sauce fish sauce")) == {"refrain"}
     assert set(kinds("The old clock had stopped again. Nobody in town had ever asked about it.\nShe closed the door.")) == {"prose"}
@@ -144,3 +149,15 @@ def test_chain_learns_and_holds_out():
     assert (chain.decode(chain.bag_scores([set()])) > 0).all()
     known = subjects.Chain(order).fit(bags, np.array(y), np.ones(300))
     assert np.allclose(known.text_scores(texts[:20], [None] * 20), known.bag_scores([subjects.terms(t) | subjects.structure(t, None) for t in texts[:20]]), atol=1e-5)
+
+
+def test_words_of_keyword_lines_are_learned_in_any_language():
+    import pandas as pd
+
+    rows = pd.DataFrame([(-1, 100, 900), (5, 80, 4), (6, 90, 700), (7, 2, 0)], columns=["bucket", "a", "b"])
+    flags = spam.tied_to_spam(rows)
+    assert flags[5] and not flags[6] and flags.sum() == 1
+    for text in ("รองเท้า ราคาถูก ซื้อ", "जूते सस्ते खरीदें", "scarpe economiche online", "کفش ارزان خرید"):
+        assert len(set(spam.features(text)[2])) >= 3, text
+    # digits for letters and free signs are read whatever stands around them
+    assert spam.features("buy&cheap deals/online shoes")[2] == [spam._buckets[w] for w in ("buy", "cheap", "deals", "online", "shoes")]
