@@ -1,17 +1,20 @@
 """Problem 2: the subjects of each book.
 
-A classifier chain for each language labels paragraphs.  Each link is a logistic
-regression over terms (words and word pairs, or character pairs and triples in
-scripts without spaces), the source and the structure of the paragraph, and the
-links before it, so that it learns which subjects go together.  The chain's
-probabilities are calibrated on rows kept out of the fit; a beam search decodes
-the most likely combination of labels.
+Two classifier chains for each language.  The first labels paragraphs: each link is
+a logistic regression over terms (words and word pairs, or character pairs and
+triples in scripts without spaces), the source and the structure of the paragraph,
+and the links before it.  The second labels books: its features are what the first
+found in the book's paragraphs, its links learn which subjects books have together.
+Both are calibrated on rows kept out of the fit, and a beam search decodes the most
+likely combination of labels; a book's subjects are the second chain's combination.
 
 Labelled examples are few.  They seed a topic model of a bounded sample of books
-(``BOOKS`` and ``PARAGRAPHS`` below), whose paragraphs then fit the chain beside
-the examples.  Every paragraph of the corpus is labelled by the chain; a book's
-shares are the mixture of subjects that explains its labels best, given how the
-chain confuses subjects.  A book has the subjects with at least a fifth.
+(``BOOKS`` and ``PARAGRAPHS`` below), whose paragraphs then fit the first chain
+beside the examples; languages are fitted side by side.  Everything after that is
+taken from all paragraphs and books: the labels, how often the chain takes one
+subject for another (expectation maximisation over the label counts of all books,
+started from the sample's), which subjects meet in one book, and how long books are.
+From these the second chain's training books are drawn, whose subjects are known.
 
 Defined results
 ---------------
@@ -25,6 +28,7 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import lang_code, once, table
+from bookloom.llm.common import lang_code, materialise, once, table
 
 #: The sample of the second fit: books of a language, and paragraphs of a book.
 BOOKS, PARAGRAPHS = 80, 40
@@ -45,6 +49,10 @@ TOPIC_TERMS, SEED_WEIGHT = 1500, 3.0
 #: The share of a book's paragraphs from which it has a subject.
 SHARE = 0.2
 BEAM = 5
+#: Books drawn for the second chain of a language, and the shares that a subject has which a book only touches on.
+DRAWN, TOUCHED = 4000, 0.12
+#: Rounds of expectation maximisation over all books.
+EM_ROUNDS = 3
 #: Weight of a labelled example against a paragraph of a clear book.
 EXAMPLE_WEIGHT = 4.0
 ROUNDS = 150
@@ -195,8 +203,8 @@ class Chain:
             out[full] += np.add.reduceat(self.terms_w[flat].astype(np.float64), starts, axis=0) / np.sqrt(sizes[full])[:, None]
         return out
 
-    def decode(self, z: np.ndarray) -> np.ndarray:
-        """The most likely non-empty combination of labels of each row, as a bit mask."""
+    def decode(self, z: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The most likely combination of at least one and at most ``most`` labels of each row, as a bit mask."""
         n, k = z.shape
         masks, logp = np.zeros((n, 1), np.int64), np.zeros((n, 1))
         for j in range(k):
@@ -205,6 +213,8 @@ class Chain:
             yes, no = -np.logaddexp(0, -s), -np.logaddexp(0, s)
             logp = np.concatenate([logp + no, logp + yes], axis=1)
             masks = np.concatenate([masks, masks | (1 << j)], axis=1)
+            if most is not None:
+                logp = np.where(np.bitwise_count(masks) > most, -1e9, logp)
             if logp.shape[1] > BEAM:
                 # the empty combination stays in the beam until the last link
                 top = np.argsort(-logp, axis=1, kind="stable")[:, :BEAM]
@@ -272,33 +282,48 @@ def pseudo_labels(bags: list[set[str]], books: np.ndarray, own: list[set[str]],
     return out
 
 
-def fit(examples: pd.DataFrame, sample: pd.DataFrame) -> tuple[dict[str, Chain], dict[str, np.ndarray]]:
-    """Of each language a chain and its confusion of subjects, from labelled ``examples`` and unlabelled
-    ``sample(lang, book_id, text, origin)``."""
+def fit_language(own: pd.DataFrame, part: pd.DataFrame, order: list[str]) -> tuple[Chain, np.ndarray]:
+    """The chain of paragraphs of one language and its confusion of subjects in the sample, from labelled examples and
+    unlabelled ``part(book_id, text, origin)``."""
+    k = len(order)
+    bags = [terms(t) | structure(t, None) for t in own.text]
+    y, w = _one_hot(list(own.subject), order), np.full(len(own), EXAMPLE_WEIGHT)
+    if y.any(axis=0).sum() <= 1 or not len(part):
+        return Chain(order).fit(bags, y, w), np.eye(k)
+    more = [terms(t) | structure(t, o) for t, o in zip(part.text, part.origin)]
+    told = pseudo_labels(more, part.book_id.to_numpy(), bags, y)
+    found = np.eye(k)[told]
+    size = found.sum(axis=0)
+    balance = np.sqrt(size[size > 0].mean() / np.maximum(size, 1))[told]
+    chain = Chain(order).fit(bags + more, np.concatenate([y, found]), np.concatenate([w, balance]))
+    masks = chain.decode(chain.bag_scores(more))
+    table_ = np.zeros((k, k)) + 0.5 * np.eye(k)
+    for s, m in zip(told, masks):
+        got = [j for j in range(k) if m >> j & 1]
+        table_[s, got] += 1 / len(got)
+    return chain, table_ / table_.sum(axis=1, keepdims=True)
+
+
+def fit(examples: pd.DataFrame, sample: DataFrame) -> tuple[dict[str, Chain], dict[str, np.ndarray]]:
+    """Of each language a chain and its confusion of subjects; a language's sample, of bounded size, is one task."""
     order = [s for s, _ in sorted(Counter(examples.subject).items(), key=lambda x: (-x[1], x[0]))]
     k = len(order)
-    chains: dict[str, Chain] = {}
-    confusion: dict[str, np.ndarray] = {}
-    for lang, own in examples.groupby("lang"):
-        bags = [terms(t) | structure(t, None) for t in own.text]
-        y, w = _one_hot(list(own.subject), order), np.full(len(own), EXAMPLE_WEIGHT)
-        part = sample[sample.lang == lang]
-        confusion[lang] = np.eye(k)
-        if y.any(axis=0).sum() <= 1 or not len(part):
-            chains[lang] = Chain(order).fit(bags, y, w)
-            continue
-        more = [terms(t) | structure(t, o) for t, o in zip(part.text, part.origin)]
-        told = pseudo_labels(more, part.book_id.to_numpy(), bags, y)
-        found = np.eye(k)[told]
-        size = found.sum(axis=0)
-        balance = np.sqrt(size[size > 0].mean() / np.maximum(size, 1))[told]
-        chains[lang] = chain = Chain(order).fit(bags + more, np.concatenate([y, found]), np.concatenate([w, balance]))
-        masks = chain.decode(chain.bag_scores(more))
-        table_ = np.zeros((k, k)) + 0.5 * np.eye(k)
-        for s, m in zip(told, masks):
-            got = [j for j in range(k) if m >> j & 1]
-            table_[s, got] += 1 / len(got)
-        confusion[lang] = table_ / table_.sum(axis=1, keepdims=True)
+    shared = sample.sparkSession.sparkContext.broadcast(examples)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        lang = part.lang.iloc[0]
+        own = shared.value[shared.value.lang == lang]
+        rows = part.sort_values(["book_id", "paragraph_id"]) if part.text.notna().any() else part.iloc[:0]
+        return pd.DataFrame({"lang": [lang], "model": [pickle.dumps(fit_language(own, rows[rows.text.notna()], order))]})
+
+    known = list(dict.fromkeys(examples.lang))
+    asked = sample.where(F.col("lang").isin(known))
+    # a language without a sample is fitted from its examples
+    empty = sample.sparkSession.createDataFrame([(x,) for x in known], "lang string").select("lang", *[F.lit(None).cast(t).alias(c) for c, t in sample.drop("lang").dtypes])
+    models = asked.unionByName(empty).groupBy("lang").applyInPandas(run, "lang string, model binary").collect() if known else []
+    chains, confusion = {}, {}
+    for r in models:
+        chains[r.lang], confusion[r.lang] = pickle.loads(bytes(r.model))
     chains.setdefault("other", Chain(order).fit([set()], np.eye(k)[:1], np.ones(1)))
     confusion.setdefault("other", np.eye(k))
     return chains, confusion
@@ -332,59 +357,143 @@ def label(paragraphs: DataFrame, chains: dict[str, Chain]) -> DataFrame:
     return paragraphs.mapInPandas(run, LABELS)
 
 
-def _unmixed(order: list[str], confusion: dict[str, np.ndarray]):
-    """Shares of subjects in books from the counts of labels: the mixture that the chain's known confusions explain best."""
+def unmixed(seen: np.ndarray, c: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Shares of subjects in books from the counts of labels: the mixture that the chain's confusions explain best."""
+    own = seen / np.maximum(seen.sum(axis=1, keepdims=True), 1e-9)
+    mix = np.maximum(own, 1e-6)
+    for _ in range(rounds):
+        mix = mix * ((own / np.maximum(mix @ c, 1e-9)) @ c.T)
+        mix = mix / np.maximum(mix.sum(axis=1, keepdims=True), 1e-12)
+    return mix
+
+
+def _gathered(k: int, confusion: dict[str, np.ndarray]):
+    """Of each language, over all books: how often subject s came out as label t ('c'), and the books that have s and t
+    together ('m', with s = t for a book of one subject).  At most languages x 2 x k x k rows a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            seen = np.stack([b[f"s{i}"].to_numpy(float) for i in range(len(order))], axis=1)
-            seen_share = seen / np.maximum(seen.sum(axis=1, keepdims=True), 1e-9)
-            mix = seen_share.copy()
+            seen_all = b[[f"s{i}" for i in range(k)]].to_numpy(float)
+            for lang, at in b.groupby("lang").indices.items():
+                c, seen = confusion.get(lang, confusion["other"]), seen_all[at]
+                mix = unmixed(seen, c)
+                total = sums.setdefault(lang, np.zeros((2, k, k)))
+                total[0] += (mix.T @ (seen / np.maximum(mix @ c, 1e-9))) * c
+                top = np.argsort(-mix, axis=1, kind="stable")[:, :2]
+                both = mix[np.arange(len(mix)), top[:, -1]] >= SHARE
+                np.add.at(total[1], (top[:, 0], np.where(both, top[:, -1], top[:, 0])), 1)
+        rows = [(lang, kind, i, j, float(t[n, i, j])) for lang, t in sums.items() for n, kind in enumerate("cm") for i in range(k) for j in range(k) if t[n, i, j]]
+        yield pd.DataFrame(rows, columns=["lang", "kind", "i", "j", "n"])
+
+    return run
+
+
+def over_all_books(books: DataFrame, confusion: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The confusions re-estimated over the label counts of all books, and of each language which subjects meet."""
+    k = len(confusion["other"])
+    meet: dict[str, np.ndarray] = {}
+    for _ in range(EM_ROUNDS):
+        got = books.mapInPandas(_gathered(k, confusion), "lang string, kind string, i int, j int, n double").groupBy("lang", "kind", "i", "j").agg(F.sum("n").alias("n"))
+        tables: dict[str, np.ndarray] = {}
+        for r in got.collect():  # at most languages x 2 x k x k rows
+            tables.setdefault(r.lang, np.zeros((2, k, k)))["cm".index(r.kind), r.i, r.j] = r.n
+        new = dict(confusion)
+        for lang, t in tables.items():
+            if lang in confusion:
+                # the sample's table counts as much as a hundred labels of each subject
+                c = t[0] + 100 * confusion[lang]
+                new[lang] = c / c.sum(axis=1, keepdims=True)
+            meet[lang] = t[1]
+        confusion = new
+    return confusion, meet
+
+
+class BookChain(Chain):
+    """The chain over books: features are the unmixed shares, and how far they can be trusted."""
+
+    def features(self, seen: np.ndarray, c: np.ndarray) -> np.ndarray:
+        mix, n = unmixed(seen, c), seen.sum(axis=1, keepdims=True)
+        near = np.clip((mix - SHARE / 2) / SHARE, -1, 1)
+        return np.hstack([3 * mix, 3 * near, 3 * near * np.minimum(1, n / 20), 1 / np.sqrt(np.maximum(n, 1))]).astype(np.float32)
+
+    def fit_drawn(self, c: np.ndarray, meet: np.ndarray, sizes: np.ndarray, seed: int = 11) -> BookChain:
+        """Fit on books drawn from what all books show: which subjects meet, how many paragraphs they have, and how the
+        paragraphs' chain confuses subjects."""
+        k, rng = len(self.subjects), np.random.default_rng(seed)
+        prior = meet + meet.T - np.diag(np.diag(meet)) + 0.02 * max(1.0, meet.sum()) / k**2
+        pick = rng.choice(k * k, DRAWN, p=(prior / prior.sum()).ravel())
+        first, second = pick // k, pick % k
+        n = np.maximum(1, rng.choice(sizes, DRAWN))
+        share = np.where(first == second, rng.uniform(0, TOUCHED, DRAWN), rng.uniform(SHARE, 0.5, DRAWN))
+        other = np.where(first == second, (first + 1 + rng.integers(0, max(1, k - 1), DRAWN)) % k, second)
+        theta = np.zeros((DRAWN, k))
+        theta[np.arange(DRAWN), first] = 1 - share
+        theta[np.arange(DRAWN), other] += share
+        y = np.zeros((DRAWN, k))
+        y[np.arange(DRAWN), first] = 1
+        y[np.arange(DRAWN), second] = 1
+        seen = np.stack([rng.multinomial(m, p / p.sum()) for m, p in zip(n, theta @ c)]).astype(float)
+        x, held = self.features(seen, c), np.arange(DRAWN) % 5 == 4
+        self._descend(x[~held], y[~held], np.ones((~held).sum()), 3 * ROUNDS)
+        z = self.scores(x[held]) + y[held] @ np.tril(self.links, -1).T
+        loss = lambda s: -np.log(1e-9 + np.where(y[held] > 0, 1 / (1 + np.exp(-np.clip(s * z, -30, 30))), 1 / (1 + np.exp(np.clip(s * z, -30, 30))))).sum()
+        self.scale = min((0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0), key=loss)
+        return self
+
+
+def _decoded(chains: dict[str, BookChain], confusion: dict[str, np.ndarray]):
+    """Each book with its subjects' bit mask and the shares of all of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k = len(confusion["other"])
+            seen = b[[f"s{i}" for i in range(k)]].to_numpy(float)
+            masks, mix = np.zeros(len(b), np.int64), np.zeros((len(b), k))
             for lang, at in b.groupby("lang").indices.items():
                 c = confusion.get(lang, confusion["other"])
-                part, own = mix[at], seen_share[at]
-                for _ in range(60):
-                    part = part * ((own / np.maximum(part @ c, 1e-9)) @ c.T)
-                    part = part / np.maximum(part.sum(axis=1, keepdims=True), 1e-12)
-                mix[at] = part
-            k = len(order)
-            yield pd.DataFrame({
-                "book_id": np.repeat(b.book_id.to_numpy(), k), "lang": np.repeat(b.lang.to_numpy(), k), "subject": order * len(b),
-                "n_paragraphs": np.repeat(b.n_paragraphs.to_numpy(), k), "labelled": seen.ravel(), "share": mix.ravel(),
-            })
+                chain = chains.get(lang) or chains["other"]
+                mix[at] = unmixed(seen[at], c)
+                masks[at] = chain.decode(chain.scores(chain.features(seen[at], c)), most=2)
+            yield pd.DataFrame({"book_id": b.book_id, "n_paragraphs": b.n_paragraphs, "mask": masks.astype(np.int32), "shares": list(mix)})
 
     return run
 
 
-def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, lang, subject, n_paragraphs, labelled, share) of every book and subject.
+def book_subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """(book_id, n_paragraphs, mask, shares) of every book, and the subjects that the bits and shares stand for.
 
-    Labels are summed up by book, so a book with a third of all paragraphs is one row of
-    counts like any other.
+    Labels are summed up by book, so a book with a third of all paragraphs is one row of counts like any other.
     """
     p = table(spark, sf_dir, "paragraphs").where(F.length(F.trim("text")) > 0)
     p = p.select("paragraph_id", "book_id", "text", lang_code(F.col("lang")).alias("lang"), "origin")
     examples = table(spark, sf_dir, "subject_examples").where("text is not null").select("example_id", lang_code(F.col("lang")).alias("lang"), "subject", "text")
-    chains, confusion = fit(examples.orderBy("example_id").toPandas(), sampled(p).orderBy("lang", "book_id", "paragraph_id").toPandas())
+    chains, confusion = fit(examples.orderBy("example_id").toPandas(), sampled(p))  # the examples are a fixed table
     order = chains["other"].subjects
     got = label(p, chains).dropDuplicates(["paragraph_id"])
     weight = 1 / F.bit_count("mask")
     sums = [F.sum(F.when(F.expr(f"shiftright(mask, {i}) & 1 = 1"), weight).otherwise(0.0)).alias(f"s{i}") for i in range(len(order))]
-    books = got.groupBy("book_id").agg(F.max("lang").alias("lang"), F.count("*").alias("n_paragraphs"), *sums)
-    return books.mapInPandas(_unmixed(order, confusion), "book_id long, lang string, subject string, n_paragraphs long, labelled double, share double")
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = Window.partitionBy("book_id").orderBy(F.desc("share"), "subject")
-    return shares(spark, sf_dir).withColumn("r", F.row_number().over(rank)).withColumn("about", F.expr(f"r = 1 or (r = 2 and share >= {SHARE})"))
+    books = materialise(got.groupBy("book_id").agg(F.max("lang").alias("lang"), F.count("*").alias("n_paragraphs"), *sums))
+    confusion, meet = over_all_books(books, confusion)
+    quantiles = books.groupBy("lang").agg(F.percentile_approx("n_paragraphs", [x / 20 for x in range(1, 20)]).alias("q"))
+    sizes = {r.lang: np.array(r.q, int) for r in quantiles.collect()}  # one row for each of at most twelve languages
+    second = {lang: BookChain(order).fit_drawn(confusion.get(lang, confusion["other"]), m, sizes[lang]) for lang, m in meet.items()}
+    second.setdefault("other", BookChain(order).fit_drawn(confusion["other"], np.ones((len(order),) * 2), np.array([20])))
+    return books.mapInPandas(_decoded(second, confusion), "book_id long, n_paragraphs long, mask int, shares array<double>"), order
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir).where("about").select("book_id", "subject")
+    books, order = book_subjects(spark, sf_dir)
+    bits = F.filter(F.array(*[F.when(F.expr(f"shiftright(mask, {i}) & 1 = 1"), F.lit(s)) for i, s in enumerate(order)]), lambda x: x.isNotNull())
+    return books.select("book_id", F.explode(bits).alias("subject"))
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composition of the collection: books and (estimated) paragraphs of each subject."""
-    return _ranked(spark, sf_dir).groupBy("subject").agg(
-        F.sum(F.col("about").cast("long")).alias("n_books"), F.round(F.sum(F.col("share") * F.col("n_paragraphs")), 3).alias("n_paragraphs")
+    books, order = book_subjects(spark, sf_dir)
+    each = books.select("n_paragraphs", "mask", F.posexplode("shares").alias("i", "share"))
+    about = F.expr("shiftright(mask, i) & 1")
+    names = F.array(*map(F.lit, order))
+    return each.groupBy(F.get(names, F.col("i")).alias("subject")).agg(
+        F.sum(about.cast("long")).alias("n_books"), F.round(F.sum(F.col("share") * F.col("n_paragraphs")), 3).alias("n_paragraphs")
     )
