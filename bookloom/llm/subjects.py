@@ -50,7 +50,7 @@ TOPIC_TERMS, SEED_WEIGHT = 1500, 3.0
 SHARE = 0.2
 BEAM = 5
 #: Books drawn for the second chain of a language, and the shares that a subject has which a book only touches on.
-DRAWN, TOUCHED = 4000, 0.12
+DRAWN, TOUCHED = 4000, 0.16
 #: Rounds of expectation maximisation over all books.
 EM_ROUNDS = 3
 #: Weight of a labelled example against a paragraph of a clear book.
@@ -369,7 +369,8 @@ def unmixed(seen: np.ndarray, c: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 def _gathered(k: int, confusion: dict[str, np.ndarray]):
     """Of each language, over all books: how often subject s came out as label t ('c'), and the books that have s and t
-    together ('m', with s = t for a book of one subject).  At most languages x 2 x k x k rows a task."""
+    together ('m', with s = t for a book of one subject), and what share t has in books of s alone ('t').  At most
+    languages x 3 x k x k rows a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -378,33 +379,35 @@ def _gathered(k: int, confusion: dict[str, np.ndarray]):
             for lang, at in b.groupby("lang").indices.items():
                 c, seen = confusion.get(lang, confusion["other"]), seen_all[at]
                 mix = unmixed(seen, c)
-                total = sums.setdefault(lang, np.zeros((2, k, k)))
+                total = sums.setdefault(lang, np.zeros((3, k, k)))
                 total[0] += (mix.T @ (seen / np.maximum(mix @ c, 1e-9))) * c
                 top = np.argsort(-mix, axis=1, kind="stable")[:, :2]
                 both = mix[np.arange(len(mix)), top[:, -1]] >= SHARE
                 np.add.at(total[1], (top[:, 0], np.where(both, top[:, -1], top[:, 0])), 1)
-        rows = [(lang, kind, i, j, float(t[n, i, j])) for lang, t in sums.items() for n, kind in enumerate("cm") for i in range(k) for j in range(k) if t[n, i, j]]
+                np.add.at(total[2], top[~both, 0], mix[~both])
+        rows = [(lang, kind, i, j, float(t[n, i, j])) for lang, t in sums.items() for n, kind in enumerate("cmt") for i in range(k) for j in range(k) if t[n, i, j]]
         yield pd.DataFrame(rows, columns=["lang", "kind", "i", "j", "n"])
 
     return run
 
 
 def over_all_books(books: DataFrame, confusion: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """The confusions re-estimated over the label counts of all books, and of each language which subjects meet."""
+    """The confusions re-estimated over the label counts of all books, and of each language which subjects meet
+    and which ones a book of another only touches on."""
     k = len(confusion["other"])
     meet: dict[str, np.ndarray] = {}
     for _ in range(EM_ROUNDS):
         got = books.mapInPandas(_gathered(k, confusion), "lang string, kind string, i int, j int, n double").groupBy("lang", "kind", "i", "j").agg(F.sum("n").alias("n"))
         tables: dict[str, np.ndarray] = {}
-        for r in got.collect():  # at most languages x 2 x k x k rows
-            tables.setdefault(r.lang, np.zeros((2, k, k)))["cm".index(r.kind), r.i, r.j] = r.n
+        for r in got.collect():  # at most languages x 3 x k x k rows
+            tables.setdefault(r.lang, np.zeros((3, k, k)))["cmt".index(r.kind), r.i, r.j] = r.n
         new = dict(confusion)
         for lang, t in tables.items():
             if lang in confusion:
                 # the sample's table counts as much as a hundred labels of each subject
                 c = t[0] + 100 * confusion[lang]
                 new[lang] = c / c.sum(axis=1, keepdims=True)
-            meet[lang] = t[1]
+            meet[lang] = t[1:]
         confusion = new
     return confusion, meet
 
@@ -421,12 +424,14 @@ class BookChain(Chain):
         """Fit on books drawn from what all books show: which subjects meet, how many paragraphs they have, and how the
         paragraphs' chain confuses subjects."""
         k, rng = len(self.subjects), np.random.default_rng(seed)
+        meet, touched = meet
         prior = meet + meet.T - np.diag(np.diag(meet)) + 0.02 * max(1.0, meet.sum()) / k**2
         pick = rng.choice(k * k, DRAWN, p=(prior / prior.sum()).ravel())
         first, second = pick // k, pick % k
         n = np.maximum(1, rng.choice(sizes, DRAWN))
         share = np.where(first == second, rng.uniform(0, TOUCHED, DRAWN), rng.uniform(SHARE, 0.5, DRAWN))
-        other = np.where(first == second, (first + 1 + rng.integers(0, max(1, k - 1), DRAWN)) % k, second)
+        stray = touched * (1 - np.eye(k)) + 1e-3
+        other = np.where(first == second, [rng.choice(k, p=stray[s] / stray[s].sum()) for s in first], second)
         theta = np.zeros((DRAWN, k))
         theta[np.arange(DRAWN), first] = 1 - share
         theta[np.arange(DRAWN), other] += share
@@ -478,7 +483,7 @@ def book_subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str
     quantiles = books.groupBy("lang").agg(F.percentile_approx("n_paragraphs", [x / 20 for x in range(1, 20)]).alias("q"))
     sizes = {r.lang: np.array(r.q, int) for r in quantiles.collect()}  # one row for each of at most twelve languages
     second = {lang: BookChain(order).fit_drawn(confusion.get(lang, confusion["other"]), m, sizes[lang]) for lang, m in meet.items()}
-    second.setdefault("other", BookChain(order).fit_drawn(confusion["other"], np.ones((len(order),) * 2), np.array([20])))
+    second.setdefault("other", BookChain(order).fit_drawn(confusion["other"], np.ones((2, len(order), len(order))), np.array([20])))
     return books.mapInPandas(_decoded(second, confusion), "book_id long, n_paragraphs long, mask int, shares array<double>"), order
 
 
