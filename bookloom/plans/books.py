@@ -43,9 +43,9 @@ def carry_nonzero(spark, d):
 
 @query("""SELECT user_id, count(*) AS n_changes FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type GROUP BY user_id""")
 def log_changes(spark, d):
-    """How often a user's state line changes.  A user's events are a bounded history here."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").withColumn("before", F.lag("event_type").over(w))
+    """How often a user's state line changes; the line before comes from running values, so a busy user is spread."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    e = running(e, ["user_id"], ["ts", "event_id"], before=("event_type", "lag"))
     return e.where("before is null or before <> event_type").groupBy("user_id").agg(F.count("*").alias("n_changes"))
 
 
@@ -81,10 +81,11 @@ def voice_rules(spark, d):
         wanted = F.when(hit, v) if wanted is None else wanted.when(hit, v)
     s = segments(spark, d, "emotion").select("segment_id", wanted.otherwise(NARRATOR).alias("wanted"))
     v = table(spark, d, "voices").select("voice_id").distinct()
-    have = v.agg(F.collect_set("voice_id").alias("all"), F.min("voice_id").alias("first")).withColumn("one", F.lit(1))  # the catalogue is a fixed table of a few rows
-    joined = s.withColumn("one", F.lit(1)).join(F.broadcast(have), "one")
-    voice = F.when(F.array_contains("all", F.col("wanted")), F.col("wanted")).when(F.array_contains("all", F.lit(NARRATOR)), NARRATOR).otherwise(F.col("first"))
-    return joined.select("segment_id", voice.alias("voice"))
+    # two joins on the voice: with the one that is wanted, and with the narrator's for those that aren't there
+    narrator = v.where(F.col("voice_id") == NARRATOR).select(F.col("voice_id").alias("narrator"))
+    first = F.lit(v.agg(F.min("voice_id")).first()[0])
+    s = s.withColumn("narrator_wanted", F.lit(NARRATOR)).join(v, s.wanted == v.voice_id, "left").join(narrator, F.col("narrator_wanted") == F.col("narrator"), "left")
+    return s.select("segment_id", F.coalesce("voice_id", "narrator", first).alias("voice"))
 
 
 @query()

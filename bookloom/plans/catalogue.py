@@ -86,7 +86,8 @@ def clean_text(spark, d):
 
 
 def _noise_sql(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{n}'" for n, p in T.NOISE_RULES) + " END"
+    also = {"domain": f" AND (len(regexp_extract_all({c}, '{T.NON_WS}+')) <= 12 OR regexp_matches({c}, '[/@]'))", "contents": f" AND length({c}) < 30"}
+    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}'){also.get(n, '')} THEN '{n}'" for n, p in T.NOISE_RULES) + " END"
 
 
 @query(f"""SELECT rule, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, {_noise_sql('line')} AS rule FROM
@@ -215,14 +216,20 @@ def majority_mood(spark, d):
     SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY label, i) GROUP BY label) c) t
  JOIN embeddings e USING (vec_id) JOIN (SELECT DISTINCT label FROM embeddings) c ON c.label = t.label GROUP BY e.vec_id""")
 def semantic_label(spark, d):
-    """Each vector's nearest label by cosine to the labels' mean vectors, which are few and go to every row."""
+    """Each vector's nearest label by cosine to the labels' mean vectors.
+
+    Vectors meet the labels coordinate by coordinate in a join, and products are summed up by (vector, label): no table
+    of labels is sent anywhere as a whole, so there may be as many as one likes.
+    """
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-    listed = centres.agg(F.array_sort(F.collect_list(F.struct("label", "v"))).alias("all")).withColumn("one", F.lit(1))
-    scored = e.select("vec_id", "embedding").withColumn("one", F.lit(1)).join(F.broadcast(listed), "one")  # one row: a vector for each label
-    best = F.array_max(F.transform("all", lambda c: F.struct(A.cosine(F.col("embedding"), c["v"]).alias("s"), (-c["label"]).alias("l"))))
-    return scored.select("vec_id", (-best["l"]).alias("label"), F.round(best["s"], 6).alias("score"))
+    norms = means.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
+    unit = means.join(norms, "label").select(F.col("label").alias("other"), "i", F.when(F.col("norm") > 0, F.col("m") / F.col("norm")).otherwise(0.0).alias("m"))
+    points = e.select("vec_id", F.sqrt(A.dot(F.col("embedding"), F.col("embedding"))).alias("size"), F.posexplode("embedding").alias("i", "x"))
+    each = points.join(unit, "i").select("vec_id", "size", "other", (F.col("m") * F.col("x")).alias("p"))
+    scored = each.groupBy("vec_id", "other").agg((F.sum("p") / F.max("size")).alias("s"))
+    best = F.max(F.struct(F.coalesce("s", F.lit(0.0)).alias("s"), (-F.col("other")).alias("l")))
+    return scored.groupBy("vec_id").agg(best.alias("b")).select("vec_id", (-F.col("b.l")).alias("label"), F.round("b.s", 6).alias("score"))
 
 
 @query("SELECT voice_id, other, round(s, 6) AS score FROM (SELECT a.voice_id, b.voice_id AS other, list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) AS s, row_number() OVER (PARTITION BY a.voice_id ORDER BY list_cosine_similarity(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) DESC, b.voice_id) AS r FROM voices a JOIN voices b ON a.voice_id <> b.voice_id) WHERE r = 1")
@@ -253,7 +260,7 @@ def prosody(spark, d):
  SELECT text, arg_max(emotion, segment_id) AS emotion FROM {SEGMENTS} WHERE emotion IS NOT NULL AND text IS NOT NULL GROUP BY text) c ON c.text = s.text""")
 def segment_class_join(spark, d):
     """Each segment with the class that its text got last; texts meet by their hash, not by themselves."""
-    s = once(table(spark, d, "tts_segments").select("segment_id", "text", "emotion"), "segment_id").withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
+    s = once(table(spark, d, "tts_segments").select("segment_id", F.sha2(F.col("text").cast("binary"), 256).alias("key"), "emotion"), "segment_id")
     told = s.where("emotion is not null and key is not null").groupBy("key").agg(F.max_by("emotion", "segment_id").alias("told"))
     return s.select("segment_id", "key").join(told, "key", "left").select("segment_id", F.coalesce("told", F.lit("neutral")).alias("emotion"))
 
@@ -407,22 +414,24 @@ def stream_chapter_complete(spark, d):
 
 @query()
 def epub_blocks(spark, d):
-    """Detected chapters as EPUB files in memory, read again into blocks: the round trip of the book format."""
+    """Detected chapters as EPUB files in memory, a file for each chapter, read again into blocks: the round trip of the format."""
     import pandas as pd
 
     from bookloom.sources import books
 
-    def trip(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chapter_no", kind="stable")
-        data = sinks.epub_bytes("book", [(t, list(p)) for t, p in zip(pdf.title, pdf.paragraphs)])
-        rows = [(int(pdf.book_id.iloc[0]), k, j, kind, text) for k, _, _, j, kind, text in books.epub_blocks(data, skip=False)]
-        return pd.DataFrame(rows, columns=["book_id", "item_no", "block_no", "kind", "text"])
+    def trip(batches):
+        for b in batches:
+            rows = []
+            for book, chapter, title, paragraphs in zip(b.book_id, b.chapter_no, b.title, b.paragraphs):
+                data = sinks.epub_bytes("book", [(title, list(paragraphs))])
+                rows += [(book, chapter, j, kind, text) for _, _, _, j, kind, text in books.epub_blocks(data, skip=False)]
+            yield pd.DataFrame(rows, columns=["book_id", "item_no", "block_no", "kind", "text"])
 
-    return chapter_detect(spark, d).groupBy("book_id").applyInPandas(trip, "book_id long, item_no int, block_no int, kind string, text string")
+    return chapter_detect(spark, d).mapInPandas(trip, "book_id long, item_no int, block_no int, kind string, text string")
 
 
 def queries():
-    from bookloom.plans import books  # noqa: F401  registers its queries
+    from bookloom.plans import books, more  # noqa: F401  register their queries
 
     return dict(QUERIES)
 
