@@ -51,6 +51,8 @@ SHARE = 0.2
 BEAM = 5
 #: Books drawn for the second chain of a language, and the shares that a subject has which a book only touches on.
 DRAWN, TOUCHED = 4000, 0.16
+#: Books drawn with any two subjects, against those drawn as the corpus has them: what a book shows has to count there too.
+UNIFORM = 0.5
 #: Rounds of expectation maximisation over all books.
 EM_ROUNDS = 3
 #: Weight of a labelled example against a paragraph of a clear book.
@@ -425,7 +427,7 @@ class BookChain(Chain):
         paragraphs' chain confuses subjects."""
         k, rng = len(self.subjects), np.random.default_rng(seed)
         meet, touched = meet
-        prior = meet + meet.T - np.diag(np.diag(meet)) + 0.02 * max(1.0, meet.sum()) / k**2
+        prior = meet + meet.T - np.diag(np.diag(meet)) + UNIFORM * max(1.0, meet.sum()) / k**2
         pick = rng.choice(k * k, DRAWN, p=(prior / prior.sum()).ravel())
         first, second = pick // k, pick % k
         n = np.maximum(1, rng.choice(sizes, DRAWN))

@@ -161,3 +161,25 @@ def test_words_of_keyword_lines_are_learned_in_any_language():
         assert len(set(spam.features(text)[2])) >= 3, text
     # digits for letters and free signs are read whatever stands around them
     assert spam.features("buy&cheap deals/online shoes")[2] == [spam._buckets[w] for w in ("buy", "cheap", "deals", "online", "shoes")]
+
+
+def test_books_come_out_with_the_subjects_that_meet():
+    order = ["law", "sport", "cooking", "fiction"]
+    confusion = np.full((4, 4), 0.02) + 0.92 * np.eye(4)
+    confusion /= confusion.sum(axis=1, keepdims=True)
+    meet = np.diag([60.0, 60, 60, 60])
+    meet[0, 1] = 80
+    touched = np.zeros((4, 4))
+    touched[:, 3] = 0.1
+    chain = subjects.BookChain(order).fit_drawn(confusion, np.stack([meet, touched]), np.array([20, 30, 60]))
+    books = np.array([[30, 0, 0, 0], [18, 12, 0, 0], [0, 0, 27, 3], [0, 20, 0, 10], [15, 1, 14, 0]], float)
+    got = chain.decode(chain.scores(chain.features(books, confusion)), most=2)
+    assert got.tolist()[:4] == [1, 3, 4, 10] and all(1 <= bin(m).count("1") <= 2 for m in got)
+    # subjects that meet support each other
+    assert max(chain.links[1, 0], chain.links[0, 1]) > chain.links[2, 0]
+
+
+def test_mixtures_are_recovered_from_confused_labels():
+    confusion = np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.15, 0.15, 0.7]])
+    truth = np.array([[1, 0, 0], [0.5, 0.5, 0], [0.3, 0, 0.7]])
+    assert np.allclose(subjects.unmixed(1000 * truth @ confusion, confusion, 2000), truth, atol=0.05)
