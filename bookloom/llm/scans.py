@@ -61,6 +61,8 @@ HEADER_WORDS = 12
 SEQUENCE = 3
 #: Header lines at most this far apart, in edits for a letter, say the same; shorter ones have to be equal.
 FUZZY, FUZZY_LETTERS = 0.1, 12
+#: Rows of pieces of lines that are handed over at once.
+PARTS_AT_ONCE = 50_000
 
 # What scanners print, and what stood there.
 CONFUSED = [
@@ -329,21 +331,70 @@ def furniture(pages: DataFrame, chapters: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def same_lines(lines: DataFrame) -> DataFrame:
-    """(book_id, key, said): edge lines of a book that differ little from one that it has more often, and that one.
+    """(book_id, key, said): edge lines of a book that differ little from one that it has more often, and the most frequent such one.
 
-    One edit leaves the beginning or the end of a line as it is.  Lines with the same beginning, or end, are compared with
-    the most frequent of them only, never with each other.  Short words (numbers among them) have to be equal.
+    Short words (numbers among them) have to be equal.  A line parted into one piece more than the edits it is allowed
+    keeps a piece whole in every line that says the same; so lines meet on their book, short words and pieces, and all
+    pairs that meet are compared.  Only lines with a more frequent one of the same short words are cut.
     """
-    each = lines.where(F.length("key") >= FUZZY_LETTERS).groupBy("book_id", "key").agg(F.count("*").alias("n"))
-    block = F.explode(F.array(F.concat(F.lit("<"), F.substring("key", 1, FUZZY_LETTERS // 2)), F.concat(F.lit(">"), F.expr(f"right(key, {FUZZY_LETTERS // 2})"))))
-    blocked = each.withColumn("block", block)
-    first = blocked.groupBy("book_id", "block").agg(F.max(F.struct("n", "key")).alias("first")).where("first.n >= 2")
-    near = blocked.join(first, ["book_id", "block"]).where("first.n > n and first.key <> key")
-    short = lambda c: F.regexp_replace(c, r"\S{4,}", "")
-    near = near.where((short("key") == short("first.key")) & (F.levenshtein("key", "first.key") <= F.floor(F.length("first.key") * FUZZY)))
+    each = lines.where(F.col("book_id").isNotNull() & (F.length("key") >= FUZZY_LETTERS)).groupBy("book_id", "key").agg(F.count("*").alias("n"))
+    # small tables that are met several times are written, which keeps plans small
+    each = materialise(each.withColumn("short", F.regexp_replace("key", r"\S{4,}", "")))
+    often = each.where("n >= 2")
+    there = often.groupBy("book_id", "short").agg(F.max("n").alias("most"), F.collect_set(F.length("key")).alias("lengths"))
+    asked = each.join(there, ["book_id", "short"]).where("n < most").select("book_id", "short", "key", "n", "lengths")
+    asked = asked.mapInPandas(_parts_of_asked, "book_id long, short string, key string, n long, part string")
+    parts = often.mapInPandas(_parts_of_often, "book_id long, short string, n long, key string, part string")
+    parts = parts.select("book_id", "short", "part", F.struct("n", "key").alias("first"))
+    near = asked.join(parts, ["book_id", "short", "part"]).where("first.n > n").where(F.levenshtein("key", "first.key") <= F.floor(F.length("first.key") * FUZZY))
     return near.groupBy("book_id", "key").agg(F.max("first").alias("best")).select("book_id", "key", F.col("best.key").alias("said"))
 
 
+@lru_cache(maxsize=4096)
+def _pieces(length: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of a line of a length, one more than the edits that it is allowed."""
+    k = int(length * FUZZY) + 1
+    ends = [length * i // k for i in range(k + 1)]
+    return list(zip(ends, ends[1:]))
+
+
+@lru_cache(maxsize=65536)
+def _places(length: int, other: int) -> list[tuple[int, int, int]]:
+    """(piece, start, end): where a line of a length holds the pieces of one of another length that says the same.
+
+    Of the edits, at most as many as pieces come before lie before the first piece that is whole, and the rest after it.
+    """
+    pieces, longer = _pieces(other), length - other
+    edits = len(pieces) - 1
+    if abs(longer) > edits:
+        return []
+    out = []
+    for i, (start, end) in enumerate(pieces):
+        low = max(0, start - i, start + longer - (edits - i))
+        high = min(length - (end - start), start + i, start + longer + (edits - i))
+        out += [(i, at, at + end - start) for at in range(low, high + 1)]
+    return out
+
+
+def _parts_of_asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["book_id", "short", "key", "n", "part"]
+    for b in batches:
+        rows = []
+        for book, short, key, n, lengths in zip(b.book_id, b.short, b.key, b.n, b.lengths):
+            rows += [(book, short, key, n, x) for x in {f"{other} {i} {key[s:e]}" for other in lengths for i, s, e in _places(len(key), int(other))}]
+            # long lines have many pieces
+            if len(rows) >= PARTS_AT_ONCE:
+                yield pd.DataFrame(rows, columns=columns)
+                rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _parts_of_often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(book, short, n, key, f"{len(key)} {i} {key[s:e]}") for book, short, key, n in zip(b.book_id, b.short, b.key, b.n) for i, (s, e) in enumerate(_pieces(len(key)))]
+        yield pd.DataFrame(rows, columns=["book_id", "short", "n", "key", "part"])
+
+
 def _titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = pd.DataFrame({"book_id": b.book_id, "page_start": b.page_start.astype("Int32"), "key": [fold(t) for t in b.chapter_title]})

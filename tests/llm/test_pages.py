@@ -71,6 +71,26 @@ def test_headers_that_differ_by_a_letter_meet(spark):
     assert [tuple(r) for r in got] == [(1, "the hause of winds", "the house of winds")]
 
 
+def test_headers_meet_every_line_that_is_near(spark):
+    # the most frequent line of the same beginning is another one; edits stand at both ends; the best partner is the most frequent one
+    often = {"winter house and gardens": 5, "winter house and the stranger": 3, "winter house and the strangest": 2}
+    once = ["winter house and the strangex", "wintar house and the strangar", "inter house and the strangers", "wintar hause ond the stranger"]
+    texts = [k for k, n in often.items() for _ in range(n)] + once
+    got = scans.same_lines(spark.createDataFrame([(p, 1, k) for p, k in enumerate(texts)] + [(99, None, once[0])], "page_id long, book_id long, key string"))
+    want = [(1, k, "winter house and the stranger") for k in [*once[:3], "winter house and the strangest"]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pieces_of_near_lines_stand_where_they_are_looked_for():
+    key = "abcabcaabbccabcacbacbacbabcabccaab"
+    near = {key}
+    for _ in range(2):
+        near |= {x for k in near for i in range(0, len(k), 3) for x in (k[:i] + "x" + k[i + 1 :], k[:i] + "a" + k[i:], k[:i] + k[i + 1 :])}
+    pieces = [key[s:e] for s, e in scans._pieces(len(key))]
+    assert "".join(pieces) == key and len(pieces) == 4
+    assert all(any(k[s:e] == pieces[i] for i, s, e in scans._places(len(k), len(key))) for k in near)
+
+
 def test_page_numbers_run_at_a_distance(spark):
     words = "apple birch cedar dwarf elder frost grape hazel ivory jewel koala lemon mango north olive".split()
     pages = [(n, 1, n + 10, [f"{w} {w} {w} was there." for w in words[3 * n - 3 : 3 * n]] + [str(n)], "en") for n in range(1, 6)]
