@@ -46,6 +46,7 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov", strict=
 GREEK_LOOSE = dict(zip("αιρυγκ", "aipuyk", strict=True))
 ARMENIAN = dict(zip("օսհոցՏԼ", "ouhngSL", strict=True))
 LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ǀ": "l", "ꞌ": "'", "ʼ": "'", "‐": "-", "‑": "-"}
+LATIN_SIGNS = {c: p for c, p in LATIN.items() if c not in "ÐƉ"}
 # Latin letters that look like Russian ones.
 TO_RUSSIAN = dict(zip("aeopcyxABEKMHOPCTYX", "аеорсухАВЕКМНОРСТУХ", strict=True)) | {"ë": "ё", "Ë": "Ё"}
 PROTOTYPES_OF_RUSSIAN = re.compile(f"[{''.join(TO_RUSSIAN)}]")
@@ -127,7 +128,10 @@ class Forms:
             return text
         out = text
         if not out.isascii():
-            out = unicodedata.normalize("NFC", out.translate(self.table))
+            # only odd characters stand for others
+            if any(self.table[ord(c)] != c for c in set(self.odd.findall(out))):
+                out = out.translate(self.table)
+            out = unicodedata.normalize("NFC", out)
         for a, b in self.sequences.items():
             out = out.replace(a, b)
         if self.lang == "fa":
@@ -137,7 +141,7 @@ class Forms:
             if re.search(r"[Ͱ-ԯԱ-֏]", out):
                 out = self.word.sub(self._latin_word, out)
         elif self.russian:
-            out = out.translate({ord("‐"): "-", ord("‑"): "-"})
+            out = out.replace("‐", "-").replace("‑", "-")
             if re.search(r"[A-Za-zëËͰ-Ͽ]", out):
                 out = self.word.sub(self._russian_word, out)
         elif re.search(r"[Ͱ-ԯԱ-֏]", out):
@@ -150,7 +154,9 @@ class Forms:
     def _signs(self, text: str) -> str:
         if self.lang == "vi":
             text = text.replace("Ð", "Đ").replace("Ɖ", "Đ")
-        return text.translate({ord(c): p for c, p in LATIN.items() if c not in "ÐƉ"})
+        for c, p in LATIN_SIGNS.items():
+            text = text.replace(c, p)
+        return text
 
     def _latin_word(self, m: re.Match) -> str:
         w = m[0]

@@ -83,18 +83,20 @@ BEFORE_NUMBER = set("p pp no nr s tr q st fig vol vols cap núm pág chap t bd a
 
 TOKEN = re.compile(r"[\w@!|$]+(?:['’][\w@!|$]+)*")
 NUMBER_FIRST, NUMBER_LAST = re.compile(r"([^\s.]{1,8})\s{2,}(?=\S)"), re.compile(r"(?<=\S)\s{2,}([^\s.]{1,8})\Z")
-GAP = re.compile(r"[^\S\n]*[\r\n]+\s*|[^\S\n]{2,}")
+# white space with a line break, or longer than a sign; begins with a class, which is searched for quickly
+GAP = re.compile(r"\s(?:\s+|(?<=[\r\n]))")
 CLOSED = re.compile(r"[.!?…:]['\"”»’“)\]]*\Z")
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿]")
-PIECE = re.compile(r"[\r\n]|\s{2,}")
 LEADING_NUMBER = re.compile(rf"([\-–—\[(]?\s?(?:(?:{PAGE_WORDS})\s)?(?:\d{{1,4}}|[ivxlc]{{1,8}}|[lI|\dO]{{1,4}})\s?[\-–—\])]?)\s(?=\w|[“«„\"(])", re.I)
 # what a leading number can begin with: implied by the pattern above
 LEADS = re.compile(r"[-–—\[(\s\divxlcO|ptsпс]", re.I)
-INTERRUPTION = re.compile(r"(?<=[^\s.!?…”»\"'])([^\S\n]*[\r\n]+\s*|[^\S\n]{2,})(?=[^\W\d_])")
+# what may stand before a title that interrupts a sentence
+NO_END = re.compile(r"[^\s.!?…”»\"']")
 BREAK = re.compile(rf"[{MARKS}]\s+(?=\w)")
 RIGHT = re.compile(r"\w[\w'’]*")
 # A capital inside a word that stands for small letters.
 INNER = re.compile(r"(?<=\w)[IU]")
+VOCABULARY_RUN = re.compile(r"[\w'’-]+")
 VOCABULARY_TOKEN = re.compile(r"\w+(?:['’]\w+)*(?:-\w+)*")
 NUMBER_LINE = re.compile(rf"[\s\-–—\[\]()·•.]*(?:({PAGE_WORDS})\s*)?([0-9lIi|!oOоОsSbgqB]{{1,4}}|[ivxlcIVXLC]{{1,8}})[\s\-–—\[\]()·•.]*\Z", re.I)
 ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\Z", re.I)
@@ -136,8 +138,8 @@ def fold(line: str) -> str:
     s = form(line, "en").lower()
     for seen, true in (("0", "o"), ("1", "l"), ("!", "l"), ("|", "l"), ("i", "l"), ("5", "s"), ("9", "g"), ("q", "g"), ("6", "b"), ("@", "a"), ("rn", "m"), ("rl", "n"), ("vv", "w"), ("cl", "d"), ("ll", "h"), ("c", "e"), ("f", "t"), ("4", "ч"), ("3", "з")):
         s = s.replace(seen, true)
-    s = s.translate(str.maketrans("гпиц", "тлни"))
-    return re.sub(r"\s+", " ", s).strip()
+    s = s.replace("г", "т").replace("п", "л").replace("и", "н").replace("ц", "и")
+    return " ".join(s.split())
 
 
 def split_number(line: str, pages) -> tuple[str, bool]:
@@ -162,13 +164,14 @@ def _left(text: str, end: int) -> int:
 def tokens(text: str, lang: str, known: frozenset[str]) -> list[tuple[str, bool]]:
     """Tokens worth a look in the vocabulary, each with whether '!' closes it before a small letter."""
     out = []
-    if known.issuperset(TOKEN.findall(text.lower())) and not INNER.search(text):
+    inner = INNER.search(text)
+    if known.issuperset(TOKEN.findall(text.lower())) and not inner:
         return out
     letters = own(lang)
     for m in TOKEN.finditer(text):
         w = m[0]
         low = w.lower()
-        odd = not w.isupper() and INNER.search(w)
+        odd = inner and not w.isupper() and INNER.search(w)
         if low in known and not odd or low.isdigit():
             continue
         closing = w.endswith("!")
@@ -243,10 +246,17 @@ def variants(token: str) -> set[str]:
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        counts: dict[tuple, Counter] = {}
+        runs: dict[tuple, Counter] = {}
         for lang, clean, text in zip(b.lang, b.clean, b.text):
-            counts.setdefault((lang, clean), Counter()).update(VOCABULARY_TOKEN.findall(text.lower()))
-        rows = [(lang, w, n if clean else 0, 0 if clean else n) for (lang, clean), c in counts.items() for w, n in c.items() if len(w) <= LONGEST]
+            runs.setdefault((lang, clean), Counter()).update(VOCABULARY_RUN.findall(text.lower()))
+        rows = []
+        for (lang, clean), found in runs.items():
+            counts: dict[str, int] = {}
+            for run, n in found.items():
+                # no token goes beyond a run, so each different run is parted once
+                for w in (run,) if run.isalnum() else VOCABULARY_TOKEN.findall(run):
+                    counts[w] = counts.get(w, 0) + n
+            rows += [(lang, w, n if clean else 0, 0 if clean else n) for w, n in counts.items() if len(w) <= LONGEST]
         yield pd.DataFrame(rows, columns=["lang", "word", "n_clean", "n_scan"])
 
 
@@ -417,13 +427,12 @@ def _hyphens(text: str, lang: str) -> list[tuple[int, int, str, str, str]]:
 
 def _pieces_after_gaps(text: str) -> Iterator[tuple[int, str, str]]:
     """(start, gap before it, piece) of what stands after line breaks and double spaces, and at the start a lone number."""
-    first = PIECE.search(text)
-    if text and numbers(text[: first.start() if first else len(text)]):
-        yield 0, "", text[: first.start() if first else len(text)]
-    for m in GAP.finditer(text):
-        end = PIECE.search(text, m.end())
-        piece = text[m.end() : end.start() if end else len(text)]
-        if piece.strip():
+    gaps = list(GAP.finditer(text))
+    ends = [*(m.start() for m in gaps), len(text)]
+    if text and numbers(text[: ends[0]]):
+        yield 0, "", text[: ends[0]]
+    for m, end in zip(gaps, ends[1:]):
+        if piece := text[m.end() : end]:
             yield m.end(), m[0], piece
 
 
@@ -481,10 +490,12 @@ def paragraph_furniture(text: str, first: int | None, last: int | None, keys) ->
 def title_spans(text: str) -> list[tuple[str, int, int]]:
     """(folded key, start, end) of short pieces that interrupt a sentence: titles of headers that the book's pages don't show."""
     out = []
-    for m in INTERRUPTION.finditer(text):
+    gaps = list(GAP.finditer(text))
+    for m, stop in zip(gaps, [*(g.start() for g in gaps[1:]), len(text)]):
         at, gap = m.end(), m[0]
-        end = PIECE.search(text, at)
-        piece = text[at : end.start() if end else len(text)].strip()
+        if not m.start() or not NO_END.match(text, m.start() - 1):
+            continue
+        piece = text[at:stop].strip()
         if not piece or not piece[0].isupper():
             continue
         words = piece.split(" ")

@@ -1,5 +1,9 @@
 """Scanned pages come out as continuous paragraphs."""
 
+import re
+from collections import Counter
+from itertools import product
+
 import pandas as pd
 
 from bookloom.llm import queries, scans
@@ -91,6 +95,31 @@ def test_pieces_of_near_lines_stand_where_they_are_looked_for():
     assert all(any(k[s:e] == pieces[i] for i, s, e in scans._places(len(k), len(key))) for k in near)
 
 
+def test_plain_words_are_counted_without_being_parted(monkeypatch):
+    class Counted:
+        asked = []
+
+        def findall(self, text):
+            self.asked.append(text)
+            return pattern.findall(text)
+
+    pattern = scans.VOCABULARY_TOKEN
+    texts = ["The lantern went out and the lantern fell.", "A well-known man's 'quote' -- it's - so_so, rock’n’roll-ing- क्या कि"]
+    want = Counter(w for x in texts for w in pattern.findall(x.lower()))
+    monkeypatch.setattr(scans, "VOCABULARY_TOKEN", Counted())
+    (got,) = scans._words(iter([pd.DataFrame({"lang": "en", "clean": True, "text": texts})]))
+    assert dict(zip(got.word, got.n_clean)) == want
+    assert not {"lantern", texts[0].lower()} & set(Counted.asked)
+
+
+def test_gaps_are_white_space_with_a_break_or_longer_than_a_sign():
+    told = re.compile(r"[^\S\n]*[\r\n]+\s*|[^\S\n]{2,}")
+    for n in range(6):
+        for signs in product("a \t\r\n\x85", repeat=n):
+            text = "".join(signs)
+            assert [m.span() for m in scans.GAP.finditer(text)] == [m.span() for m in told.finditer(text)], repr(text)
+
+
 def test_page_numbers_run_at_a_distance(spark):
     words = "apple birch cedar dwarf elder frost grape hazel ivory jewel koala lemon mango north olive".split()
     pages = [(n, 1, n + 10, [f"{w} {w} {w} was there." for w in words[3 * n - 3 : 3 * n]] + [str(n)], "en") for n in range(1, 6)]
