@@ -45,6 +45,7 @@ STATES = ("prose", "link", "tag", "menu", "refrain", "apparatus")
 SPAM = np.array([False, True, True, True, True, False])
 #: Features and their numbers of bins.
 FEATURES = (("url", 4), ("hash", 3), ("separators", 3), ("sentence", 2), ("repeated", 4), ("list", 7), ("product", 2), ("learned", 4))
+CODES = int(np.prod([size for _, size in FEATURES]))
 #: Staying in a state from one line to the next.
 STAY = 0.85
 #: Weight of the prior tables against the counts of training, in lines.
@@ -67,7 +68,7 @@ URL = re.compile(
     re.I,
 )
 HASH = re.compile(r"(?<!\S)#\w[\w'’-]*")
-SEPARATOR = re.compile(r"[•|→›»·;\t/,、，]| [-–—] ")
+SEPARATORS, DASH = "•|→›»·;\t/,、，", re.compile(r" [-–—] ")
 SENTENCE_END = re.compile(r"[.!?。！？।…؟۔][\"'”’»」』)]*(?=\s|$)|[。！？।]")
 CUT = re.compile(r"[.!?…]+[\"'”’»)]*\s+|[。！？।؟۔]+[”’」』]*|[•|→;\t,、，]\s*| [-–—/] |\s+")
 PRODUCT = re.compile(r"\bSKU\b|★{2,}|[-–]\d{1,2} ?%|[$€£₫]\s?\d|\d\s?(?:[$€£₫]|USD|EUR|VND)\b|in stock|add to cart", re.I)
@@ -80,13 +81,12 @@ LISTS = (
     re.compile(r"[^\s:：][^:：.!?#/]{0,40}[:：]\s+(?!\S*(?:https?:|hxxps?:|www|\w\.\w))\S.{8,}", re.S),
 )
 #: What a link and a price must hold, and digits inside words: tests that the patterns above imply.
-DOTTED = re.compile(r"\.[A-Za-z\])[(]|www[\[(]", re.I)
+DOTTED = re.compile(r"\.[A-Za-z\])[(]", re.I)
 PRICED = re.compile(r"[%$€£₫★]")
-PRICED_WORDS = ("sku", "usd", "eur", "vnd", "stock", "cart")
 LEETED = re.compile(r"[03@1$5][^\W\d_]")
 # words go on over apostrophes and hyphens; digits and signs for letters are read as those in lines that have them
 TOKEN = re.compile(r"[^\W_][\w\u0300-\u036f\u0900-\u0e7f'’@$-]*")
-LEET = str.maketrans("03@1$5_", "oeaiss ")
+LEET = tuple(zip("03@1$5_", "oeaiss ", strict=True))
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 WORD = re.compile(r"[^\w]{0,3}[^\W\d_]+(?:['’-][^\W\d_]+)*[^\w\s]{0,3}\Z|[–—-]\Z")
@@ -96,7 +96,8 @@ WORDS = re.compile(r"[぀-ヿ㐀-鿿]{1,2}|[^\s぀-ヿ㐀-鿿]+")
 def lines(text: str) -> list[str]:
     """Lines of a document; long ones in pieces."""
     out = []
-    for line in re.split(r"[\r\n]+|(?<=</li>)|<br ?/?>", text):
+    marked = "</li>" in text or "<br" in text
+    for line in re.split(r"[\r\n]+|(?<=</li>)|<br ?/?>", text) if marked else text.replace("\r", "\n").split("\n"):
         line = line.strip()
         if not line:
             continue
@@ -129,7 +130,11 @@ def _repeated(line: str, words: list[str], cjk: bool) -> float:
     if len(words) < 4 or len(set(words)) > 0.85 * len(words):
         return 0.0
     words = [w[:-1] if w[-1] == "s" and len(w) > 3 else w for w in words]
-    pairs, single = Counter(zip(words, words[1:])), Counter(words)
+    single = Counter(words)
+    # no pair is said more often than its words
+    if max(single.values()) < 3:
+        return 0.0
+    pairs = Counter(zip(words, words[1:]))
     hit = [False] * len(words)
     often = {p for p, n in pairs.items() if n >= 3}
     alone = {w for w, n in single.items() if n >= 4 and len(w) >= 4}
@@ -143,10 +148,20 @@ def _repeated(line: str, words: list[str], cjk: bool) -> float:
     return sum(hit) / len(hit)
 
 
-def _listed(found: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    values = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+def _flat(values, n: int) -> pa.Array:
+    return pa.array(np.fromiter(values, np.int32, n))
+
+
+def _observed(keys: pa.Array, found: list[list[tuple[int, int, list[int]]]]) -> pa.RecordBatch:
+    """Documents with the codes, words and numbers of keys of their lines, and all keys."""
+    all_lines = list(chain.from_iterable(found))
+    sizes = np.fromiter((len(x[2]) for x in all_lines), np.int32, len(all_lines))
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+    of_keys = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at, at_keys = pa.array(ends.astype(np.int32)), pa.array(of_keys[ends].astype(np.int32))
+    columns = [pa.ListArray.from_arrays(at, x) for x in (_flat((x[0] for x in all_lines), len(all_lines)), _flat((x[1] for x in all_lines), len(all_lines)), pa.array(sizes))]
+    columns.append(pa.ListArray.from_arrays(at_keys, _flat(chain.from_iterable(x[2] for x in all_lines), int(of_keys[-1]))))
+    return pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", "codes", "words", "sizes", "keys"])
 
 
 class _Buckets(dict):
@@ -163,9 +178,36 @@ class _Buckets(dict):
 _buckets = _Buckets()
 
 
+class _Kept(dict):
+    """What a function gives for a short token, kept for the tokens met so far up to a bound."""
+
+    def __init__(self, work):
+        self.work = work
+
+    def __missing__(self, token: str):
+        out = self.work(token)
+        if len(token) <= 24:
+            if len(self) > 100_000:
+                self.clear()
+            self[token] = out
+        return out
+
+
+def _unleeted(text: str) -> str:
+    for sign, letter in LEET:
+        text = text.replace(sign, letter)
+    return text
+
+
+# no word goes over white space, so a line's words are those of its tokens
+_plain = _Kept(lambda token: bool(WORD.match(token)))
+_words_of = _Kept(lambda token: TOKEN.findall(token.lower().replace("_", " ")))
+_words_of_leeted = _Kept(lambda token: TOKEN.findall(_unleeted(token.lower())))
+
+
 def features(line: str) -> tuple[int, int, list[int]]:
     """A line's bins as one number (that of the learned words still 0), its words, and their counters."""
-    wide = bool(UNSPACED.search(line))
+    wide = not line.isascii() and bool(UNSPACED.search(line))
     cjk = wide and bool(CJK.search(line))
     tokens = line.split()
     words = len(WORDS.findall(line)) if cjk else len(tokens)
@@ -180,12 +222,12 @@ def features(line: str) -> tuple[int, int, list[int]]:
     url = 0 if not found else 1 if linked < 0.3 else 2 if linked < 0.6 else 3
     tags = len(HASH.findall(rest)) if "#" in rest else 0
     hashed = 0 if not tags else 1 if tags * 3 < words else 2
-    separated = len(SEPARATOR.findall(rest)) / max(1, words)
+    separated = (sum(map(rest.count, SEPARATORS)) + len(DASH.findall(rest))) / max(1, words)
     sep = 0 if separated < 0.12 else 1 if separated < 0.24 else 2
     small = rest.lower()
-    low = TOKEN.findall(small.translate(LEET) if LEETED.search(small) else small.replace("_", " "))
+    low = list(chain.from_iterable(map((_words_of_leeted if LEETED.search(small) else _words_of).__getitem__, tokens)))
     unspaced = wide and len(UNSPACED.findall(rest)) * 4 > len(rest)
-    product = int((bool(PRICED.search(rest)) or any(w in small for w in PRICED_WORDS)) and bool(PRODUCT.search(rest)))
+    product = int((bool(PRICED.search(rest)) or "sku" in small or "usd" in small or "eur" in small or "vnd" in small or "stock" in small or "cart" in small) and bool(PRODUCT.search(rest)))
     longest = max(map(len, tokens), default=0)
     # a script that ends sentences with spaces writes prose in long runs
     running = unspaced and len(rest) > 9 * max(1, len(tokens))
@@ -200,7 +242,7 @@ def features(line: str) -> tuple[int, int, list[int]]:
                 once.add(part.strip())
         if len(kept) <= len(SENTENCE_END.findall(rest)):
             again = " ".join(kept)
-            r = _repeated(again, TOKEN.findall(again.lower().translate(LEET)), cjk)
+            r = _repeated(again, TOKEN.findall(_unleeted(again.lower())), cjk)
     if not unspaced and longest >= 40 and longest * 3 > len(rest):
         r = 0.0
     repeated = 0 if r < 0.12 else 1 if r < 0.3 else 2 if r < 0.5 else 3
@@ -212,7 +254,7 @@ def features(line: str) -> tuple[int, int, list[int]]:
                 listed = k
                 break
         if not listed and url < 2 and repeated < 2 and not (ended and len(tokens) > 12 and longest < 40):
-            plain = sum(bool(WORD.match(t)) for t in tokens)
+            plain = sum(map(_plain.__getitem__, tokens))
             debris = len(rest) < 15 or not unspaced and (longest >= 40 and longest * 3 > len(rest) or plain < 0.6 * len(tokens))
             listed = 6 if debris and not (ended and plain >= 3) else 0
     code = 0
@@ -258,8 +300,15 @@ class Tables:
         change = (1 - STAY) / (len(STATES) - 1)
         self.moves = np.log(np.full((len(STATES),) * 2, change) + np.eye(len(STATES)) * (STAY - change))
         self.first = np.log(np.array([0.5, 0.1, 0.1, 0.1, 0.1, 0.1]))
+        self.table = None
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
+        """Emissions by line, from a table of all codes, of which there are few."""
+        if self.table is None:
+            self.table = self._emissions(np.arange(CODES))
+        return self.table[codes]
+
+    def _emissions(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros((len(codes), len(STATES)))
         rest = codes.astype(np.int64)
         for k in range(len(FEATURES) - 1, -1, -1):
@@ -304,9 +353,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, tuple[int, int, list[int]]] = {}
             texts = b.column(1).slice(at, TEXTS).to_pylist()
             found = [[known.get(x) or known.setdefault(x, features(x)) for x in lines(text)] for text in texts]
-            columns = [[[x[k] for x in f] for f in found] for k in (0, 1)]
-            columns += [[[len(x[2]) for x in f] for f in found], [[k for x in f for k in x[2]] for f in found]]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *map(_listed, columns)], ["doc_id", "codes", "words", "sizes", "keys"])
+            yield _observed(b.column(0).slice(at, len(texts)), found)
 
 
 #: Texts that are worked on at once.

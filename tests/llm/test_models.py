@@ -183,3 +183,29 @@ def test_mixtures_are_recovered_from_confused_labels():
     confusion = np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.15, 0.15, 0.7]])
     truth = np.array([[1, 0, 0], [0.5, 0.5, 0], [0.3, 0, 0.7]])
     assert np.allclose(subjects.unmixed(1000 * truth @ confusion, confusion, 2000), truth, atol=0.05)
+
+
+def test_tokens_of_lines_are_worked_on_once(monkeypatch):
+    class Counted:
+        asked = []
+
+        def match(self, token):
+            self.asked.append(token)
+            return pattern.match(token)
+
+    pattern = spam.WORD
+    monkeypatch.setattr(spam, "WORD", Counted())
+    for line in ("Wanderschuhe Winterjacken %% ##% Wanderschuhe", "Winterjacken %% ##% Wanderschuhe %%"):
+        spam.features(line)
+    assert sorted(Counted.asked) == sorted(set(Counted.asked)) and "Wanderschuhe" in Counted.asked
+
+
+def test_words_of_tokens_are_the_words_of_the_line():
+    for line in ("Kaufen_Sie 'jetzt' ΑΣ ΣΟΣ. fr33_st@ff for $5\u2003x_", "it’s क्या कि ภาษาไทย_ดี -- ab-cd", "_ __a 0 @x ſ K"):
+        low = line.lower()
+        for words, text in ((spam._words_of, low.replace("_", " ")), (spam._words_of_leeted, low.translate(str.maketrans("03@1$5_", "oeaiss ")))):
+            assert [w for x in line.split() for w in words[x]] == spam.TOKEN.findall(text)
+    model = spam.Tables()
+    codes = np.arange(0, spam.CODES, 7)
+    assert (model.emissions(codes) == model._emissions(codes)).all()
+    assert spam.lines("a\rb\r\n\n c</li>d") == ["a", "b", "c</li>", "d"] and spam.lines("a\rb\r\n\n c") == ["a", "b", "c"]
